@@ -1,7 +1,8 @@
-"""Exact linear-interpolated quantiles that never gather a group in one task.
+"""Exact linear-interpolated quantiles that never gather a large group in one task.
 
-Spark's ``percentile`` keeps every distinct value of a group in one buffer.
-Here a rank is located by counting instead:
+Spark's ``percentile`` keeps every distinct value of a group in one buffer. It
+is used where a count of the largest group shows that this is safe. Otherwise a
+rank is located by counting:
 
 1. count rows per logarithmic magnitude bin (partial aggregation, no sort);
 2. inside the bins that hold a wanted rank, count rows per equal-width sub-bin;
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _SUB_BINS = 65536
+GATHER_LIMIT = 200_000
 
 
 def _magnitude(v):
@@ -36,10 +38,30 @@ def _cumulate(df, groups, order):
     return df.withColumn("before", F.sum("n").over(w) - F.col("n"))
 
 
-def exact_quantiles(df: DataFrame, value: str, probs, keys=()) -> DataFrame:
-    """Rows (keys..., prob, quantile), type-7 interpolation, NULL values ignored."""
+def _largest_group(df: DataFrame, keys) -> int:
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
+def _gathered(df: DataFrame, value: str, probs, keys) -> DataFrame:
+    q = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(p) for p in probs]))
+    pairs = F.array(*[
+        F.struct(F.lit(p).alias("prob"), F.col("_q")[i].alias("quantile"))
+        for i, p in enumerate(probs)])
+    packed = df.groupBy(*keys).agg(q.alias("_q")).where(F.col("_q").isNotNull())
+    return packed.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.*")
+
+
+def exact_quantiles(df: DataFrame, value: str, probs, keys=(),
+                    gather_limit: int = GATHER_LIMIT) -> DataFrame:
+    """Rows (keys..., prob, quantile), type-7 interpolation, NULL values ignored.
+
+    One count of the largest group decides between the two ways.
+    """
     keys = list(keys)
     probs = [float(p) for p in probs]
+    if gather_limit and _largest_group(df, keys) <= gather_limit:
+        return _gathered(df, value, probs, keys)
     v = F.col("_v")
     facts = (
         df.select(*keys, F.col(value).cast("double").alias("_v")).where(v.isNotNull())
@@ -96,9 +118,11 @@ def exact_quantiles(df: DataFrame, value: str, probs, keys=()) -> DataFrame:
         *keys, "prob", (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("quantile"))
 
 
-def quantile_columns(df: DataFrame, value: str, names: dict[str, float], keys) -> DataFrame:
+def quantile_columns(df: DataFrame, value: str, names: dict[str, float], keys,
+                     gather_limit: int = GATHER_LIMIT) -> DataFrame:
     """One row per key with one column per quantile."""
-    long = exact_quantiles(df, value, sorted(set(names.values())), keys=keys)
+    probs = sorted(set(names.values()))
+    long = exact_quantiles(df, value, probs, keys=keys, gather_limit=gather_limit)
     return long.groupBy(*keys).agg(*[
         F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("quantile"))).alias(n)
         for n, p in names.items()])
@@ -106,7 +130,7 @@ def quantile_columns(df: DataFrame, value: str, names: dict[str, float], keys) -
 
 def group_quantiles(df: DataFrame, value: str, names: dict[str, float], keys, bounded: bool):
     """Quantiles per key; ``bounded`` says that a key holds at most a fixed number of rows
-    (bootstrap samples, folds), so that Spark's one-pass ``percentile`` may hold them."""
+    (bootstrap samples, folds), so that no count is needed before ``percentile``."""
     if not bounded:
         return quantile_columns(df, value, names, keys)
     arr = F.percentile(value, F.array(*[F.lit(float(p)) for p in names.values()]))
