@@ -75,12 +75,18 @@ def cells(spark, sf_dir) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ride_id"),
-        F.col("l_suppkey").cast("int").alias("zone"),
+        F.col("l_suppkey").cast("int").alias("zone"), F.col("l_linenumber").alias("sim"),
         ((F.dayofweek("l_shipdate") - 1) * 24 + (F.col("l_orderkey") % 24) + 1).cast("int")
         .alias("hour"),
         (F.col("l_extendedprice") / 850).alias("productivity"))
 
 
+def places(spark, sf_dir) -> DataFrame:
+    """Every zone at every hour of the week."""
+    return zone_grid(spark, sf_dir).select(
+        "zone", F.explode(F.sequence(F.lit(1), F.lit(HOURS))).alias("hour"))
+
+
 def chain(spark, sf_dir) -> DataFrame:
     """(site, sim, x_num, prob): one distribution over 64 points per embedding."""
     e = table(spark, sf_dir, "embeddings")
@@ -188,7 +194,7 @@ prod AS (SELECT *, cast(24 * dayofweek(completed_on) + hour(completed_on) + 1 AS
 """
 CELLS = """
 cells AS (SELECT l_orderkey * 8 + l_linenumber AS ride_id, cast(l_suppkey AS integer) AS zone,
-    cast(24 * dayofweek(l_shipdate) + l_orderkey % 24 + 1 AS integer) AS hour,
+    l_linenumber AS sim, cast(24 * dayofweek(l_shipdate) + l_orderkey % 24 + 1 AS integer) AS hour,
     l_extendedprice / 850 AS productivity FROM lineitem)
 """
 CHAIN = """
@@ -262,3 +268,66 @@ def leaves_sql(betas: str, keys: str, out: str = "leaves") -> str:
         least(beta * side, 0.0) - ln(1 + exp(-abs(beta * side))))) AS prob
      FROM {betas} JOIN paths USING (split_id) GROUP BY {keys}, leaf, leaf_lo, leaf_up)
 """
+
+
+PLACES = """
+places AS (SELECT cast(s_suppkey AS integer) AS zone, cast(unnest(generate_series(1, 168)) AS integer) AS hour FROM supplier)
+"""
+
+
+def dense_sql(places: str, keys: str, counts: str = "counts", out: str = "dense") -> str:
+    """CTE text: counts at every key of ``places`` and every split, zeros included."""
+    return f"""
+{out} AS MATERIALIZED (SELECT {keys}, split_id, coalesce(successes, 0)::bigint AS successes,
+      coalesce(attempts, 0)::bigint AS attempts
+  FROM (SELECT {keys}, split_id FROM {places} CROSS JOIN tree) LEFT JOIN {counts} USING ({keys}, split_id))
+"""
+
+
+def hash_sql(ident: str, salt: int) -> str:
+    h = (f"((({ident}) % 2147483648) * 2654435761 + ((({ident}) // 2147483648) % 1048576) * 40503 "
+         f"+ {salt} * 1013904223::bigint) % 4294967296")
+    h = f"(({h}) // 65536 * 69069 + ({h}) % 65536 * 1234567)"
+    return f"((({h}) * 1664525 + 1013904223) % 4294967296) / 4294967296.0::double"
+
+
+def fold_sql(vertex: str, folds: int, seed: int = 0) -> str:
+    return f"cast((((({vertex}) % 2147483648) * 2654435761 + {seed}) % 4294967296) // 65536 % {folds} AS integer)"
+
+
+def fit_sql(counts: str, edges: str, rounds: int, p: str = "f", eps: str = "1e-3",
+            newton: int = 3, reach: float = 4.0) -> str:
+    """CTE text of ``rounds`` alternating steps; the betas end up in ``{p}v{rounds}``.
+
+    ``counts``: model_id, vertex, successes, attempts; ``edges``: model_id, src, dst, l1, l2.
+    """
+    out = [f"""{p}c AS MATERIALIZED (SELECT model_id, vertex, successes + {eps}::double AS s,
+       attempts + 2 * {eps}::double AS n FROM {counts})""",
+           f"{p}p AS (SELECT model_id, ln(sum(s) / (sum(n) - sum(s))) AS beta FROM {p}c GROUP BY model_id)",
+           f"{p}v0 AS MATERIALIZED (SELECT model_id, vertex, s, n, beta FROM {p}c JOIN {p}p USING (model_id))",
+           f"""{p}e0 AS MATERIALIZED (SELECT model_id, src, dst, l1, l2, beta AS zs, beta AS zd, 0.0::double AS us,
+       0.0::double AS ud FROM {edges} JOIN {p}p USING (model_id))"""]
+    for k in range(1, rounds + 1):
+        e, v = f"{p}e{k - 1}", f"{p}v{k - 1}"
+        out.append(f"""{p}m{k} AS MATERIALIZED (SELECT model_id, vertex, sum(pull) AS pull, count(*)::double AS deg
+          FROM (SELECT model_id, src AS vertex, zs - us AS pull FROM {e} UNION ALL SELECT model_id, dst, zd - ud FROM {e})
+          GROUP BY ALL)""")
+        body = f"""(SELECT model_id, vertex, s, n, beta, coalesce(pull, 0) AS pull, coalesce(deg, 0) AS deg
+          FROM {v} LEFT JOIN {p}m{k} USING (model_id, vertex))"""
+        for _ in range(newton):
+            body = f"""(SELECT model_id, vertex, s, n, pull, deg, beta - greatest(least(
+              CASE WHEN n * q * (1 - q) + deg > 0 THEN (n * q - s + (deg * beta - pull)) / greatest(n * q * (1 - q) + deg, 1e-12)
+              ELSE 0.0 END, {reach}), -{reach}) AS beta
+              FROM (SELECT *, 1 / (1 + exp(-beta)) AS q FROM {body}))"""
+        out.append(f"{p}v{k} AS MATERIALIZED (SELECT model_id, vertex, s, n, beta FROM {body})")
+        if k < rounds:
+            out.append(edge_step_sql(p, k))
+    return ",\n".join(out)
+
+
+def edge_step_sql(p: str, k: int) -> str:
+    return f"""{p}e{k} AS MATERIALIZED (SELECT model_id, src, dst, l1, l2, m + h AS zs, m - h AS zd, a - (m + h) AS us, c - (m - h) AS ud
+      FROM (SELECT *, (a + c) / 2 AS m, sign(a - c) * greatest(abs(a - c) - 2 * l1, 0) / (1 + 4 * l2) / 2 AS h
+        FROM (SELECT e.*, i.beta + us AS a, j.beta + ud AS c FROM {p}e{k - 1} e
+          JOIN {p}v{k} i ON i.model_id = e.model_id AND i.vertex = src
+          JOIN {p}v{k} j ON j.model_id = e.model_id AND j.vertex = dst)))"""

@@ -140,13 +140,15 @@ def density_quantile(leaves: DataFrame, levels=(0.1, 0.25, 0.5, 0.75), keys=("ve
     """(keys, level, value): where the distribution function crosses each level.
 
     Linear inside the crossing bin. All levels come from one window and one
-    aggregation, both over the bins of a key.
+    aggregation, both over the bins of a key. A level met up to 1e-12 counts as
+    reached, so that rounding in the running sum cannot pick the next bin.
     """
     keys = list(keys)
     cdf = running_cdf(leaves, keys, "leaf").withColumn("_before", F.col("cdf") - F.col("prob"))
 
     def crossing(level):
-        hit = (F.col("_before") < level) & (F.col("cdf") >= level)
+        reached = level - 1e-12
+        hit = (F.col("_before") < reached) & (F.col("cdf") >= reached)
         share = (F.lit(level) - F.col("_before")) / F.nullif(F.col("prob"), F.lit(0.0))
         at = F.col("leaf_lo") + share * (F.col("leaf_up") - F.col("leaf_lo"))
         return F.min(F.when(hit, at))

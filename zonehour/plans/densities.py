@@ -24,7 +24,7 @@ def surfaces(betas: DataFrame, splits: DataFrame, keys=("vertex",),
                     D.density_quantile(leaves, levels, keys))
 
 
-def with_place(surface: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Zone, hour and label of every vertex of a surface."""
-    return surface.join(vertices.select("vertex", "zone", "hour", "timelabel", "node_counts"),
-                        "vertex")
+def with_place(surface: DataFrame, vertices: DataFrame, on=("vertex",)) -> DataFrame:
+    """A surface beside the id, place, label and count of its vertices."""
+    return surface.join(
+        vertices.select("vertex", "zone", "hour", "timelabel", "node_counts"), list(on))

@@ -123,3 +123,10 @@ def outlier_suffix(df: DataFrame, columns=("task_space", "task_time"), flag: str
     """Task names marked when outliers were injected."""
     tail = F.when(F.col(flag), "+outliers").otherwise("")
     return df.withColumns({c: F.concat(F.col(c), tail) for c in columns})
+
+
+def enrich(df: DataFrame, *dimensions) -> DataFrame:
+    """Left joins with (table, key columns) pairs, one after the other."""
+    for table, on in dimensions:
+        df = df.join(table, list(on), "left")
+    return df
