@@ -104,7 +104,7 @@ def scores(spark, sf_dir) -> DataFrame:
         F.col("o_orderkey").alias("runid"), F.col("o_custkey").alias("experiment"),
         F.col("o_orderpriority").alias("task"), (F.col("o_orderkey") % 3).cast("int").alias("method"),
         (F.col("o_orderstatus") == "F").alias("outliers"),
-        (F.col("o_totalprice") / 100000).alias("score"))
+        (F.col("o_totalprice") / 77777).alias("score"))
 
 
 def search_runs(spark, sf_dir) -> DataFrame:
@@ -119,7 +119,7 @@ def search_runs(spark, sf_dir) -> DataFrame:
         (1 + F.floor(k / 36) % 48).cast("int").alias("gen"),
         lam(7919, -2.0, 3.0).alias("lam_s1"), lam(104729, -3.0, 5.0).alias("lam_s2"),
         lam(611953, -2.0, 3.0).alias("lam_t1"), lam(15485863, -3.0, 5.0).alias("lam_t2"),
-        (-F.col("o_totalprice") / 1000000).alias("cv_logll"))
+        (-F.col("o_totalprice") / 777777).alias("cv_logll"))
 
 
 # --- the same as SQL -------------------------------------------------------------
@@ -206,7 +206,7 @@ chain AS (SELECT site, sim, cast(x_num AS integer) AS x_num,
 SCORES = """
 scores AS (SELECT o_orderkey AS runid, o_custkey AS experiment, o_orderpriority AS task,
     cast(o_orderkey % 3 AS integer) AS method, o_orderstatus = 'F' AS outliers,
-    o_totalprice / 100000 AS score FROM orders)
+    o_totalprice / 77777 AS score FROM orders)
 """
 SEARCH = """
 runs AS (SELECT cast(o_custkey % 36 AS integer) AS split_id, o_orderkey AS runid,
@@ -215,7 +215,7 @@ runs AS (SELECT cast(o_custkey % 36 AS integer) AS split_id, o_orderkey AS runid
     pow(10.0::double, -3.0 + ((o_orderkey * 104729) % 1000) * (5.0::double / 1000)) AS lam_s2,
     pow(10.0::double, -2.0 + ((o_orderkey * 611953) % 1000) * (3.0::double / 1000)) AS lam_t1,
     pow(10.0::double, -3.0 + ((o_orderkey * 15485863) % 1000) * (5.0::double / 1000)) AS lam_t2,
-    -o_totalprice / 1000000 AS cv_logll FROM orders)
+    -o_totalprice / 777777 AS cv_logll FROM orders)
 """
 
 # Quantile tree of depth 5 with one split on the left tail and four on the right.
@@ -326,8 +326,9 @@ def fit_sql(counts: str, edges: str, rounds: int, p: str = "f", eps: str = "1e-3
 
 
 def edge_step_sql(p: str, k: int) -> str:
-    return f"""{p}e{k} AS MATERIALIZED (SELECT model_id, src, dst, l1, l2, m + h AS zs, m - h AS zd, a - (m + h) AS us, c - (m - h) AS ud
+    return f"""{p}a{k} AS MATERIALIZED (SELECT e.*, i.beta + us AS a FROM {p}e{k - 1} e
+      JOIN {p}v{k} i ON i.model_id = e.model_id AND i.vertex = src),
+    {p}e{k} AS MATERIALIZED (SELECT model_id, src, dst, l1, l2, m + h AS zs, m - h AS zd, a - (m + h) AS us, c - (m - h) AS ud
       FROM (SELECT *, (a + c) / 2 AS m, sign(a - c) * greatest(abs(a - c) - 2 * l1, 0) / (1 + 4 * l2) / 2 AS h
-        FROM (SELECT e.*, i.beta + us AS a, j.beta + ud AS c FROM {p}e{k - 1} e
-          JOIN {p}v{k} i ON i.model_id = e.model_id AND i.vertex = src
+        FROM (SELECT e.*, j.beta + ud AS c FROM {p}a{k} e
           JOIN {p}v{k} j ON j.model_id = e.model_id AND j.vertex = dst)))"""

@@ -56,7 +56,7 @@ def hash_uniform(ident, salt=0) -> Column:
     Two multiplicative mixing steps modulo 2**32; ids beyond 2**31 are folded
     with their own multiplier, so no step can overflow a bigint.
     """
-    salt = salt if isinstance(salt, Column) else F.lit(int(salt))
+    salt = (salt if isinstance(salt, Column) else F.lit(int(salt))).cast("bigint")
     low = F.pmod(ident.cast("bigint"), F.lit(2147483648))
     high = F.pmod(F.floor(ident / 2147483648), F.lit(1048576))
     h = (low * 2654435761 + high * 40503 + salt * 1013904223) % 4294967296
