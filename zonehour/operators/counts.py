@@ -11,7 +11,7 @@ def slot_counts(values: DataFrame, splits: DataFrame, value: str, keys, weight:
     cuts = cut_points(splits)
     n = F.count("*") if weight is None else F.sum(weight)
     return (
-        values.select(*keys, slot_of(F.col(value), cuts).alias("slot"),
+        values.select(*keys, slot_of(value, cuts).alias("slot"),
                       *([weight] if weight else []))
         .where(F.col("slot").isNotNull()).groupBy(*keys, "slot").agg(n.alias("n"))
     )

@@ -7,25 +7,53 @@ from ..functions.likelihood import log_logistic
 from .splits import cut_points, leaf_of, split_paths
 
 
+WIDE_SPLITS = 128
+
+
 def leaf_probabilities(betas: DataFrame, splits: DataFrame, keys=("vertex",),
                        renormalize: bool = False) -> DataFrame:
-    """(keys, leaf, leaf_lo, leaf_up, prob).
+    """(keys, leaf, leaf_lo, leaf_up, log_prob, prob).
 
-    Log-odds are brought together by key once; the join with the leaf paths (a
-    tree parameter, broadcast) and the sum per leaf then stay in place. Works
-    for samples too, with the sample number among the keys.
+    ``betas`` holds every split of every key; samples have the sample number
+    among the keys. One shuffle brings the log-odds of a key together; there the
+    splits become columns and every leaf is a sum over its ancestors, written out
+    from the tree. Trees too large for that many columns join their path table.
     """
     keys = list(keys)
-    paths = F.broadcast(split_paths(splits))
-    logp = (
-        betas.repartition(*keys).join(paths, "split_id")
-        .groupBy(*keys, "leaf", "leaf_lo", "leaf_up")
-        .agg(F.sum(log_logistic(F.col("beta") * F.col("side"))).alias("log_prob"))
-    )
-    out = logp.withColumn("prob", F.exp("log_prob"))
+    together = betas.repartition(*keys)
+    rows = split_paths(splits)
+    # The tree is a parameter of some dozens of rows.
+    paths = rows.limit(WIDE_SPLITS * WIDE_SPLITS).collect()
+    if len({p["split_id"] for p in paths}) > WIDE_SPLITS or len(paths) == WIDE_SPLITS ** 2:
+        out = (
+            together.join(F.broadcast(rows), "split_id")
+            .groupBy(*keys, "leaf", "leaf_lo", "leaf_up")
+            .agg(F.sum(log_logistic(F.col("beta") * F.col("side"))).alias("log_prob"))
+        )
+    else:
+        out = _wide_leaves(together, paths, keys)
+    out = out.withColumn("prob", F.exp("log_prob"))
     return normalize_mass(out, keys) if renormalize else out
 
 
+def _wide_leaves(betas: DataFrame, paths, keys) -> DataFrame:
+    ids = sorted({p["split_id"] for p in paths})
+    logs = betas.select(
+        *keys, "split_id", log_logistic(F.col("beta")).alias("_left"),
+        log_logistic(-F.col("beta")).alias("_right"))
+    wide = logs.groupBy(*keys).agg(*[
+        F.expr(f"coalesce(max({side}) FILTER (WHERE split_id = {i}), 0D) AS {side}{i}")
+        for i in ids for side in ("_left", "_right")])
+    leaves = {}
+    for p in paths:
+        term = f"{'_left' if p['side'] > 0 else '_right'}{p['split_id']}"
+        leaves.setdefault((p["leaf"], p["leaf_lo"], p["leaf_up"]), []).append(term)
+    structs = ", ".join(
+        f"struct({leaf}, {lo!r}D, {up!r}D, {' + '.join(terms)})"
+        for (leaf, lo, up), terms in sorted(leaves.items()))
+    return wide.selectExpr(*keys, f"inline(array({structs})) AS (leaf, leaf_lo, leaf_up, log_prob)")
+
+
 def normalize_mass(df: DataFrame, keys, prob: str = "prob") -> DataFrame:
     """Divide by the sum over the evaluation points of each key."""
     total = F.sum(prob).over(Window.partitionBy(*keys))
@@ -80,7 +108,7 @@ def log_density_at(values: DataFrame, leaves: DataFrame, splits: DataFrame, valu
     cuts = cut_points(splits)
     dens = leaves.select(*keys, "leaf", F.ln(
         F.col("prob") / (F.col("leaf_up") - F.col("leaf_lo"))).alias("log_density"))
-    return values.withColumn("leaf", leaf_of(F.col(value), cuts)).join(
+    return values.withColumn("leaf", leaf_of(value, cuts)).join(
         dens, [*keys, "leaf"], "left")
 
 
@@ -92,7 +120,7 @@ def heldout_nll(values: DataFrame, leaves: DataFrame, splits: DataFrame, value:
     """
     cuts = cut_points(splits)
     cells = (
-        values.select(*keys, *by, leaf_of(F.col(value), cuts).alias("leaf"))
+        values.select(*keys, *by, leaf_of(value, cuts).alias("leaf"))
         .where(F.col("leaf").isNotNull()).groupBy(*keys, *by, "leaf").agg(F.count("*").alias("n"))
     )
     dens = leaves.select(*keys, "leaf", F.ln(

@@ -89,7 +89,7 @@ def number_zones(adjacency: DataFrame, position: str = "pos") -> DataFrame:
         .union(adjacency.select("zone2", F.col(position) * 2 + 1))
         .groupBy("zone").agg(F.min("first_pos").alias("first_pos"))
     )
-    return number_rows(first, "first_pos", "zone_rank")
+    return number_rows(save_round(first, "first-seen"), "first_pos", "zone_rank")
 
 
 def vertex_id(hour, rank, zones):

@@ -9,11 +9,15 @@ from ..operators.quantiles import exact_quantiles
 def number_rows(df: DataFrame, order: str, out: str, block: int = 65536, base: int = 0) -> DataFrame:
     """Dense numbering by a unique, non-negative integer column, in parallel.
 
-    Rows are numbered inside blocks of ``block`` consecutive order values; the
+    A counted table of at most ``block`` rows is numbered by one window. Beyond,
+    rows are numbered inside blocks of ``block`` consecutive order values; the
     rows before each block come from a running sum over block counts, a table
     ``block`` times smaller. That table is itself folded once more, so the one
     unpartitioned window sees count/block**2 rows.
     """
+    if df.count() <= block:
+        number = F.row_number().over(Window.orderBy(order)) - 1 + base
+        return df.withColumn(out, number.cast("bigint"))
     blocked = df.withColumn("_b", F.floor(F.col(order) / block)).withColumn(
         "_bb", F.floor(F.col("_b") / block))
     counts = blocked.groupBy("_bb", "_b").agg(F.count("*").alias("_n"))

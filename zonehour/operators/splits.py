@@ -22,7 +22,7 @@ def bfs_order(splits: DataFrame) -> DataFrame:
 
 
 def _dyadic_rows(cuts, depth: int):
-    """Splits of 2**depth cells given by an array of cut points, as struct columns."""
+    """Splits of 2**depth cells given by cut point expressions, as (lvl, lo, mid, up)."""
     out = []
     for lvl in range(depth):
         half = 2 ** (depth - lvl - 1)
@@ -33,17 +33,15 @@ def _dyadic_rows(cuts, depth: int):
 
 
 def _explode_rows(df: DataFrame, rows) -> DataFrame:
-    structs = F.array(*[
-        F.struct(F.lit(lvl).alias("lvl"), lo.alias("lo"), mid.alias("mid"), up.alias("up"))
-        for lvl, lo, mid, up in rows])
-    return bfs_order(df.select(F.explode(structs).alias("s")).select("s.*"))
+    """A tree from SQL expressions over a one-row table."""
+    structs = ", ".join(f"struct({lvl}, {lo}, {mid}, {up})" for lvl, lo, mid, up in rows)
+    return bfs_order(df.selectExpr(f"inline(array({structs})) AS (lvl, lo, mid, up)"))
 
 
 def uniform_splits(bounds: DataFrame, depth: int) -> DataFrame:
     """Even dyadic tree between the columns ``lo`` and ``hi`` of a one-row table."""
     n = 2 ** depth
-    lo, hi = F.col("lo"), F.col("hi")
-    cuts = [lo + (hi - lo) * (k / n) for k in range(n + 1)]
+    cuts = [f"lo + (hi - lo) * {k / n!r}D" for k in range(n + 1)]
     return _explode_rows(bounds, _dyadic_rows(cuts, depth))
 
 
@@ -70,8 +68,7 @@ def dyadic_probs(depth: int, margin: int | None = None):
 
 def trail_levels(cuts: DataFrame, depth: int) -> DataFrame:
     """Dyadic splits at index offsets of a cut array."""
-    c = F.col("cuts")
-    return _explode_rows(cuts, _dyadic_rows([c[k] for k in range(2 ** depth + 1)], depth))
+    return _explode_rows(cuts, _dyadic_rows([f"cuts[{k}]" for k in range(2 ** depth + 1)], depth))
 
 
 def quantile_splits(df: DataFrame, value: str, depth: int = 5, tails=(1, 4),
@@ -83,15 +80,21 @@ def quantile_splits(df: DataFrame, value: str, depth: int = 5, tails=(1, 4),
     """
     n = 2 ** depth
     cuts = level_cuts(df, value, dyadic_probs(depth))
-    c = [F.col("cuts")[k] for k in range(n + 1)]
+    c = [f"cuts[{k}]" for k in range(n + 1)]
     low, first, last, high = c[0], c[1], c[n - 1], c[n]
-    end = last + (high - last) * top_share if top is None else F.lit(float(top))
+    end = f"({last} + ({high} - {last}) * {top_share!r}D)" if top is None else f"{float(top)!r}D"
     rows = _dyadic_rows(c, depth)
+
+    def between(a, b, parts):
+        """The ends and ``parts`` - 1 even points between two expressions."""
+        inner = [f"{a} + ({b} - {a}) * {k / parts!r}D" for k in range(1, parts)]
+        return [a, *inner, b]
+
     lefts, rights = tails
-    edge = [low + (first - low) * (k / (lefts + 1)) for k in range(1, lefts + 1)] + [first]
+    edge = between(low, first, lefts + 1)
     for k in range(1, lefts + 1):
-        rows.append((depth - 1 + k, low, edge[lefts - k], edge[lefts - k + 1]))
-    edge = [last] + [last + (end - last) * (k / (rights + 1)) for k in range(1, rights + 1)]
+        rows.append((depth - 1 + k, low, edge[-1 - k], edge[-k]))
+    edge = between(last, end, rights + 1)
     for k in range(1, rights + 1):
         rows.append((depth - 1 + k, edge[k - 1], edge[k], high))
     return _explode_rows(cuts, rows)
@@ -170,25 +173,27 @@ def split_paths(splits: DataFrame) -> DataFrame:
         F.when(left, 1).otherwise(-1).alias("side"))
 
 
-def slot_of(x, cuts):
-    """Which cut point or gap between cut points holds ``x``.
+def slot_of(x: str, cuts):
+    """Which cut point or gap between cut points holds the column ``x``.
 
     Slot 2i is the open gap below cut i, slot 2i+1 is cut i itself. Written as
-    a balanced comparison tree: log2(cuts) comparisons per row, all in generated code.
+    a balanced comparison tree: log2(cuts) comparisons per row, all in generated
+    code. NULL and NaN have no slot.
     """
 
     def search(a, b):
         if a == b:
-            return F.lit(2 * a)
+            return str(2 * a)
         m = (a + b) // 2
-        return (F.when(x < cuts[m], search(a, m)).when(x > cuts[m], search(m + 1, b))
-                .otherwise(F.lit(2 * m + 1)))
+        cut = f"{float(cuts[m])!r}D"
+        return (f"CASE WHEN {x} < {cut} THEN {search(a, m)} WHEN {x} > {cut} "
+                f"THEN {search(m + 1, b)} ELSE {2 * m + 1} END")
 
-    return F.when(x.isNull() | F.isnan(x), F.lit(None).cast("int")).otherwise(
-        search(0, len(cuts)))
+    return F.expr(f"CASE WHEN {x} IS NULL OR isnan({x}) THEN CAST(NULL AS INT) "
+                  f"ELSE {search(0, len(cuts))} END")
 
 
-def leaf_of(x, cuts, closed: str = "left"):
+def leaf_of(x: str, cuts, closed: str = "left"):
     """Leaf index of a value; NULL outside the tree; both outer ends belong to it."""
     slot = slot_of(x, cuts)
     at_cut = (slot % 2) == 1
