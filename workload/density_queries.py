@@ -29,8 +29,7 @@ def raw_betas(counts):
 
 def betas(spark, sf, keys, cells, splits):
     """Unsmoothed log-odds of every key at every split."""
-    sparse = C.split_counts(X.cells(spark, sf), splits, keys=keys)
-    return raw_betas(C.densify(sparse, cells, splits, keys))
+    return raw_betas(C.split_counts(X.cells(spark, sf), splits, keys=keys, vertices=cells))
 
 
 def zone_leaves(spark, sf):

@@ -65,8 +65,8 @@ def vertex_counts(spark, sf, verts, depth):
     cuts = T.level_cuts(X.cells(spark, sf), "productivity",
                         T.dyadic_probs(depth) if depth > 1 else [0.5])
     splits = save_round(T.trail_levels(cuts, depth), "tree")
-    sparse = C.split_counts(placed(spark, sf, verts), splits)
-    return splits, save_round(C.densify(sparse, verts, splits), "counts")
+    counts = C.split_counts(placed(spark, sf, verts), splits, vertices=verts)
+    return splits, save_round(counts, "counts")
 
 
 def constant_models(splits):
@@ -78,9 +78,7 @@ def constant_models(splits):
    CASE WHEN attempts >= 1 THEN {X.fold_sql('vertex', 5, 7)} END AS fold FROM dense""")
 def assign_folds(spark, sf):
     verts, _ = graph(spark, sf)
-    splits = tree(spark, sf)
-    sparse = C.split_counts(placed(spark, sf, verts), splits)
-    dense = C.densify(sparse, verts, splits)
+    dense = C.split_counts(placed(spark, sf, verts), tree(spark, sf), vertices=verts)
     return V.assign_folds(dense, 5, 7).select("vertex", "split_id", "fold")
 
 

@@ -48,7 +48,7 @@ def tag_zone(spark, sf):
 def tag_zone_large(spark, sf):
     """The path for zone layers that are too large to broadcast."""
     return S.tag_zone(X.rides(spark, sf), X.zones(spark, sf), P.ENDS,
-                      broadcast_segments=0).select("ride_id", "start_zone", "end_zone")
+                      cell=4.0, broadcast_segments=0).select("ride_id", "start_zone", "end_zone")
 
 
 @query("drop_outside", f"WITH {X.TAGGED} SELECT ride_id, start_zone, end_zone FROM tagged")
@@ -96,14 +96,23 @@ _SEQ = ("idle_after", "unproductive_after", "reach_after", "duration_next", "far
 @query("driver_sequence", f"WITH {X.SEQUENCED} SELECT ride_id, driver_id, {rs(*_SEQ, digits=4)} FROM seq")
 def driver_sequence(spark, sf):
     rides = P.priced_rides(P.tagged_rides(X.rides(spark, sf), X.zones(spark, sf)))
-    return rounded(R.driver_sequence(rides).select("ride_id", "driver_id", *_SEQ), 4)
+    return rounded(R.driver_sequence(rides, load=X.rides(spark, sf)).select(
+        "ride_id", "driver_id", *_SEQ), 4)
+
+
+@query("driver_sequence_busy", f"WITH {X.SEQUENCED} SELECT ride_id, driver_id, {rs(*_SEQ, digits=4)} FROM seq")
+def driver_sequence_busy(spark, sf):
+    """The path for drivers with very many rides, here from 20 rides on."""
+    rides = P.priced_rides(P.tagged_rides(X.rides(spark, sf), X.zones(spark, sf)))
+    return rounded(R.driver_sequence(rides, load=X.rides(spark, sf), hot_rows=20).select(
+        "ride_id", "driver_id", *_SEQ), 4)
 
 
 @query("drop_negative_gap", f"""WITH {X.SEQUENCED} SELECT ride_id, {rs('unproductive_after', digits=4)}
     FROM seq WHERE unproductive_after IS NULL OR unproductive_after >= 0""")
 def drop_negative_gap(spark, sf):
     rides = P.priced_rides(P.tagged_rides(X.rides(spark, sf), X.zones(spark, sf)))
-    return rounded(R.drop_negative_gap(R.driver_sequence(rides)).select(
+    return rounded(R.drop_negative_gap(R.driver_sequence(rides, load=X.rides(spark, sf))).select(
         "ride_id", "unproductive_after"), 4)
 
 
@@ -112,7 +121,7 @@ def drop_negative_gap(spark, sf):
      AND duration_next < 120 AND fare_next < 200 AND productivity < 125""")
 def clean_gaps(spark, sf):
     rides = P.priced_rides(P.tagged_rides(X.rides(spark, sf), X.zones(spark, sf)))
-    return rounded(R.clean_gaps(R.driver_sequence(rides), idle=(0.1, 600)).select(
+    return rounded(R.clean_gaps(R.driver_sequence(rides, load=X.rides(spark, sf)), idle=(0.1, 600)).select(
         "ride_id", "idle_after", "productivity"), 4)
 
 

@@ -173,9 +173,8 @@ def split_counts_open(spark, sf):
   FROM (supplier CROSS JOIN tree) d LEFT JOIN counts ON counts.zone = d.s_suppkey AND counts.split_id = d.split_id
   """.replace("split_id, coalesce", "d.split_id, coalesce", 1))
 def split_counts_dense(spark, sf):
-    splits = tree(spark, sf)
-    sparse = C.split_counts(X.cells(spark, sf), splits, keys=("zone",))
-    return C.densify(sparse, X.zone_grid(spark, sf), splits, ("zone",))
+    return C.split_counts(X.cells(spark, sf), tree(spark, sf), keys=("zone",),
+                          vertices=X.zone_grid(spark, sf))
 
 
 @query("split_totals", f"""WITH {X.TREE}, {X.counts_sql('cells', 'zone')}

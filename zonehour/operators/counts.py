@@ -1,9 +1,11 @@
 """Successes and attempts of every vertex at every split."""
 
+from collections import defaultdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .splits import cut_points, slot_of, slot_paths
+from .splits import WIDE_SPLITS, cut_points, slot_of, slot_paths
 
 
 def slot_counts(values: DataFrame, splits: DataFrame, value: str, keys, weight: str | None = None):
@@ -17,26 +19,63 @@ def slot_counts(values: DataFrame, splits: DataFrame, value: str, keys, weight:
     )
 
 
-def roll_up(slots: DataFrame, splits: DataFrame, keys, closed: str = "left") -> DataFrame:
-    """Slot counts to split counts along the slot's ancestors.
+def _slot_filter(slots) -> str:
+    slots = sorted(slots)
+    if not slots:
+        return "false"
+    if slots[-1] - slots[0] == len(slots) - 1:
+        return f"slot BETWEEN {slots[0]} AND {slots[-1]}"
+    return f"slot IN ({', '.join(map(str, slots))})"
+
+
+def roll_up(slots: DataFrame, splits: DataFrame, keys, closed: str = "left",
+            vertices: DataFrame | None = None) -> DataFrame:
+    """Slot counts to (keys, split_id, successes, attempts).
 
-    The ancestor table holds slots x depth rows, a tree parameter bounded by
-    ``MAX_SPLITS``, hence the broadcast.
+    One shuffle brings the few slots of a key together; there every split is a
+    pair of filtered sums over its slot range. With ``vertices`` every one of
+    their rows gets every split, zeros included; without, only splits that were
+    tried appear. Trees too large for that many columns join their slot table.
     """
-    paths = F.broadcast(slot_paths(splits, closed))
-    return slots.join(paths, "slot").groupBy(*keys, "split_id").agg(
-        F.sum(F.when(F.col("is_left"), F.col("n")).otherwise(0)).alias("successes"),
-        F.sum("n").alias("attempts"))
+    keys = list(keys)
+    table = slot_paths(splits, closed)
+    paths = table.limit(WIDE_SPLITS * WIDE_SPLITS).collect()  # a tree parameter
+    left, right = defaultdict(list), defaultdict(list)
+    for p in paths:
+        (left if p["is_left"] else right)[p["split_id"]].append(p["slot"])
+    ids = sorted({*left, *right})
+    if len(ids) > WIDE_SPLITS or len(paths) == WIDE_SPLITS ** 2:
+        sparse = slots.join(F.broadcast(table), "slot").groupBy(*keys, "split_id").agg(
+            F.sum(F.when(F.col("is_left"), F.col("n")).otherwise(0)).alias("successes"),
+            F.sum("n").alias("attempts"))
+        return sparse if vertices is None else densify(sparse, vertices, splits, keys)
+    rows = slots.select(*keys, "slot", F.col("n").cast("bigint").alias("n"))
+    if vertices is not None:
+        rows = rows.unionByName(vertices.select(
+            *keys, F.lit(None).cast("int").alias("slot"), F.lit(0).cast("bigint").alias("n")))
+    sums = [
+        F.expr(f"coalesce(sum(n) FILTER (WHERE {_slot_filter(s)}), 0) AS {name}{i}")
+        for i in ids for name, s in (("_s", left[i]), ("_a", left[i] + right[i]))]
+    wide = rows.repartition(*keys).groupBy(*keys).agg(*sums)
+    cells = ", ".join(f"{i}, _s{i}, _a{i}" for i in ids)
+    long = wide.selectExpr(
+        *keys, f"stack({len(ids)}, {cells}) AS (split_id, successes, attempts)")
+    return long.where(F.col("attempts") > 0) if vertices is None else long
 
 
 def split_counts(values: DataFrame, splits: DataFrame, value: str = "productivity",
-                 keys=("vertex",), closed: str = "left", weight: str | None = None) -> DataFrame:
-    """(keys, split_id, successes, attempts) where a split was tried at all."""
-    return roll_up(slot_counts(values, splits, value, list(keys), weight), splits, list(keys), closed)
+                 keys=("vertex",), closed: str = "left", weight: str | None = None,
+                 vertices: DataFrame | None = None) -> DataFrame:
+    """(keys, split_id, successes, attempts); dense over ``vertices`` when they are given.
+
+    ``vertices`` lists distinct keys and should cover those of the values.
+    """
+    slots = slot_counts(values, splits, value, list(keys), weight)
+    return roll_up(slots, splits, keys, closed, vertices)
 
 
 def densify(counts: DataFrame, vertices: DataFrame, splits: DataFrame, keys=("vertex",)):
-    """Add the zero rows: every vertex at every split."""
+    """Add the zero rows to sparse counts: every vertex at every split."""
     ids = splits.agg(F.sort_array(F.collect_set("split_id"))).scalar()
     full = vertices.select(*keys).withColumn("split_id", F.explode(ids))
     return full.join(counts, [*keys, "split_id"], "left").select(

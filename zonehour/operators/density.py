@@ -4,10 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.likelihood import log_logistic
-from .splits import cut_points, leaf_of, split_paths
-
-
-WIDE_SPLITS = 128
+from .splits import WIDE_SPLITS, cut_points, leaf_of, split_paths
 
 
 def leaf_probabilities(betas: DataFrame, splits: DataFrame, keys=("vertex",),
@@ -48,10 +45,10 @@ def _wide_leaves(betas: DataFrame, paths, keys) -> DataFrame:
     for p in paths:
         term = f"{'_left' if p['side'] > 0 else '_right'}{p['split_id']}"
         leaves.setdefault((p["leaf"], p["leaf_lo"], p["leaf_up"]), []).append(term)
-    structs = ", ".join(
-        f"struct({leaf}, {lo!r}D, {up!r}D, {' + '.join(terms)})"
-        for (leaf, lo, up), terms in sorted(leaves.items()))
-    return wide.selectExpr(*keys, f"inline(array({structs})) AS (leaf, leaf_lo, leaf_up, log_prob)")
+    cells = ", ".join(f"{leaf}, {lo!r}D, {up!r}D, {' + '.join(terms)}"
+                      for (leaf, lo, up), terms in sorted(leaves.items()))
+    return wide.selectExpr(
+        *keys, f"stack({len(leaves)}, {cells}) AS (leaf, leaf_lo, leaf_up, log_prob)")
 
 
 def normalize_mass(df: DataFrame, keys, prob: str = "prob") -> DataFrame:

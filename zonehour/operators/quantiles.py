@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _SUB_BINS = 65536
-GATHER_LIMIT = 200_000
+# Largest group ``percentile`` may hold: many keyed groups share a task, one unkeyed group does not.
+GATHER_ONE = 2_000_000
+GATHER_KEYED = 20_000
 
 
 def _magnitude(v):
@@ -53,13 +55,15 @@ def _gathered(df: DataFrame, value: str, probs, keys) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs, keys=(),
-                    gather_limit: int = GATHER_LIMIT) -> DataFrame:
+                    gather_limit: int | None = None) -> DataFrame:
     """Rows (keys..., prob, quantile), type-7 interpolation, NULL values ignored.
 
     One count of the largest group decides between the two ways.
     """
     keys = list(keys)
     probs = [float(p) for p in probs]
+    if gather_limit is None:
+        gather_limit = GATHER_KEYED if keys else GATHER_ONE
     if gather_limit and _largest_group(df, keys) <= gather_limit:
         return _gathered(df, value, probs, keys)
     v = F.col("_v")
@@ -119,7 +123,7 @@ def exact_quantiles(df: DataFrame, value: str, probs, keys=(),
 
 
 def quantile_columns(df: DataFrame, value: str, names: dict[str, float], keys,
-                     gather_limit: int = GATHER_LIMIT) -> DataFrame:
+                     gather_limit: int | None = None) -> DataFrame:
     """One row per key with one column per quantile."""
     probs = sorted(set(names.values()))
     long = exact_quantiles(df, value, probs, keys=keys, gather_limit=gather_limit)

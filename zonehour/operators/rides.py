@@ -49,27 +49,53 @@ def add_clock(df: DataFrame) -> DataFrame:
     })
 
 
-def driver_sequence(df: DataFrame, driver: str = "driver_id", bucket: str = "day") -> DataFrame:
+HOT_DRIVER_ROWS = 2_000_000
+
+
+def _bucketed(df: DataFrame, driver: str, bucket: str, load: DataFrame, hot_rows: int):
+    """Add ``_bucket``: the calendar bucket for busy drivers, one constant for the others.
+
+    Returns the table and whether any driver is busy. At most rows/hot_rows
+    drivers can be, and that number is counted before they are broadcast.
+    """
+    hot = load.groupBy(driver).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
+    hot = hot.select(driver, F.lit(True).alias("_hot"))
+    busy = hot.limit(100_001).count()
+    if busy == 0:
+        return df.withColumn("_bucket", F.lit(None).cast("timestamp_ntz")), False
+    flagged = df.join(F.broadcast(hot) if busy <= 100_000 else hot, driver, "left")
+    start = F.date_trunc(bucket, F.col("started_on")).cast("timestamp_ntz")
+    return flagged.withColumn("_bucket", F.when(F.col("_hot"), start)).drop("_hot"), True
+
+
+def driver_sequence(df: DataFrame, driver: str = "driver_id", bucket: str = "day",
+                    load: DataFrame | None = None, hot_rows: int = HOT_DRIVER_ROWS) -> DataFrame:
     """Gaps to, and earnings of, each driver's next ride.
 
-    A driver may own a large share of all rows, so a driver is not one window
-    group: rides are ordered within (driver, calendar bucket), and the last ride
-    of a bucket takes its successor from the first ride of the driver's next
-    bucket. Those first rides form a table with one row per driver and bucket.
-    Ties in the start time are ordered by ride id.
+    Drivers with more than ``hot_rows`` rows in ``load`` (default ``df``; pass the
+    raw table to spare a second evaluation) are not one window group. Their rides
+    are ordered within (driver, calendar bucket), and the last ride of a bucket
+    takes its successor from the first ride of the driver's next bucket; those
+    first rides form a table with one row per busy driver and bucket. Everyone
+    else takes one shuffle and one window. Ties in the start time are ordered by
+    ride id.
     """
     ahead = F.struct("started_on", "created_date", "completed_on", "fare_estimate",
                      "fare_estimate_with_surge")
     inside = Window.partitionBy(driver, "_bucket").orderBy("started_on", "ride_id")
-    rides = df.withColumn("_bucket", F.date_trunc(bucket, F.col("started_on")))
-    rides = rides.withColumns({
-        "_next": F.lead(ahead).over(inside), "_rn": F.row_number().over(inside)})
-    heads = rides.where(F.col("_rn") == 1).select(driver, "_bucket", ahead.alias("_head"))
-    heads = heads.withColumn(
-        "_carry", F.lead("_head").over(Window.partitionBy(driver).orderBy("_bucket")))
-    rides = rides.join(heads.drop("_head"), [driver, "_bucket"], "left")
+    rides, any_hot = _bucketed(df, driver, bucket, df if load is None else load, hot_rows)
+    flagged = rides
+    rides = rides.withColumn("_next", F.lead(ahead).over(inside))
+    if any_hot:
+        heads = flagged.where(F.col("_bucket").isNotNull()).withColumn(
+            "_rn", F.row_number().over(inside)).where(F.col("_rn") == 1)
+        heads = heads.select(driver, "_bucket", ahead.alias("_head")).withColumn(
+            "_carry", F.lead("_head").over(Window.partitionBy(driver).orderBy("_bucket")))
+        rides = rides.join(heads.drop("_head"), [driver, "_bucket"], "left")
+    else:
+        rides = rides.withColumn("_carry", F.lit(None).cast(rides.schema["_next"].dataType))
     nxt = F.coalesce(F.col("_next"), F.col("_carry"))
-    rides = rides.withColumn("_next", nxt).drop("_carry", "_rn", "_bucket")
+    rides = rides.withColumn("_next", nxt).drop("_carry", "_bucket")
     busy = F.col("unproductive_after") + F.col("duration_next")
     hours = F.when(busy != 0, busy)
     return (

@@ -1,5 +1,7 @@
 """Points in zones, and zones next to each other, through grid-cell equi-joins."""
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,18 +35,42 @@ def _cell_id(x, size):
     return F.floor(x / size).cast("bigint")
 
 
+def binary_size(size: float) -> float:
+    """The nearest power of two: cell numbers and cell corners are then exact."""
+    return 2.0 ** round(math.log2(size))
+
+
 def zone_cells(rings: DataFrame, cell: float) -> DataFrame:
-    """Every ring listed under each grid cell its bounding box touches."""
-    return (
+    """Grid cells of every ring, ``cell`` a power of two.
+
+    A cell no boundary passes is either ``full`` (inside the ring) or dropped;
+    other cells keep the boundary segments that a ray from inside the cell to the
+    right can meet. Testing open cells matches the half-open point test, in which
+    left and lower borders belong to a zone and right and upper ones do not.
+    """
+    x0, y0 = F.col("cx") * cell, F.col("cy") * cell
+    x1, y1 = x0 + cell, y0 + cell
+    listed = (
         rings.withColumn("cx", F.explode(_cells(F.col("xmin"), F.col("xmax"), cell)))
         .withColumn("cy", F.explode(_cells(F.col("ymin"), F.col("ymax"), cell)))
-        .select("cx", "cy", "zone_id", "segments", "xmin", "xmax", "ymin", "ymax")
     )
 
+    def passes(s):
+        return ((F.least(s["x1"], s["x2"]) < x1) & (F.greatest(s["x1"], s["x2"]) > x0)
+                & (F.least(s["y1"], s["y2"]) < y1) & (F.greatest(s["y1"], s["y2"]) > y0))
+
+    def ahead(s):
+        return ((F.greatest(s["x1"], s["x2"]) >= x0) & (F.least(s["y1"], s["y2"]) < y1)
+                & (F.greatest(s["y1"], s["y2"]) >= y0))
 
-def _holds(zone, x, y):
-    return (x.between(zone["xmin"], zone["xmax"]) & y.between(zone["ymin"], zone["ymax"])
-            & inside(x, y, zone["segments"]))
+    centre = inside(x0 + cell / 2, y0 + cell / 2, F.col("segments"))
+    return (
+        listed.withColumn("crossed", F.exists("segments", passes))
+        .withColumn("full", ~F.col("crossed") & centre)
+        .where(F.col("crossed") | F.col("full"))
+        .select("cx", "cy", "zone_id", "full",
+                F.when(F.col("crossed"), F.filter("segments", ahead)).alias("segments"))
+    )
 
 
 def tag_zone(points: DataFrame, zones: DataFrame, ends: dict[str, tuple[str, str]],
@@ -52,27 +78,35 @@ def tag_zone(points: DataFrame, zones: DataFrame, ends: dict[str, tuple[str, str
              broadcast_segments: int = BROADCAST_SEGMENTS) -> DataFrame:
     """Add one zone column per entry of ``ends`` ({out: (x, y)}), NULL outside all zones.
 
-    The zone layer is measured first. Up to ``broadcast_segments`` listed
-    segments it is broadcast by cell and the points are not shuffled at all,
-    both ends of a trip being tagged in one pass. A larger layer is joined by
-    shuffle, with points of crowded cells spread over salts.
+    Points in cells that lie wholly inside a zone are looked up, others are
+    tested against the boundary segments of their cell; ties go to the smaller
+    zone id. The zone layer is measured first. Up to ``broadcast_segments`` listed
+    segments it is broadcast by cell and the points are not shuffled at all, both
+    ends of a trip being tagged in one pass. A larger layer is joined by shuffle,
+    with points of crowded cells spread over salts.
     """
+    cell = binary_size(cell)
     cells = zone_cells(ring_table(zones), cell)
-    listed = cells.agg(F.coalesce(F.sum(F.size("segments")), F.lit(0))).first()[0]
+    size = F.coalesce(F.size("segments"), F.lit(0)) + 1
+    listed = cells.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     if listed > broadcast_segments:
         for out, (x, y) in ends.items():
             points = _tag_by_shuffle(points, cells, out, x, y, key, cell)
         return points
-    zone = F.struct("zone_id", "segments", "xmin", "xmax", "ymin", "ymax")
-    lookup = F.broadcast(cells.groupBy("cx", "cy").agg(F.collect_list(zone).alias("_zones")))
+    border = F.when(~F.col("full"), F.struct("zone_id", "segments"))
+    lookup = F.broadcast(cells.groupBy("cx", "cy").agg(
+        F.min(F.when(F.col("full"), F.col("zone_id"))).alias("_full"),
+        F.collect_list(border).alias("_border")))
     for out, (x, y) in ends.items():
         px, py = F.col(x), F.col(y)
         points = points.withColumns({"cx": _cell_id(px, cell), "cy": _cell_id(py, cell)})
-        hits = F.filter("_zones", lambda z: _holds(z, px, py))
+        hits = F.filter("_border", lambda z: inside(px, py, z["segments"]))
+        near = F.array_min(F.transform(hits, lambda z: z["zone_id"]))
         points = (
             points.join(lookup, ["cx", "cy"], "left")
-            .withColumn(out, F.array_min(F.transform(hits, lambda z: z["zone_id"])))
-            .drop("cx", "cy", "_zones")
+            .withColumn(out, F.least(
+                F.col("_full"), F.when(F.size("_border") > 0, near)))
+            .drop("cx", "cy", "_full", "_border")
         )
     return points
 
@@ -92,9 +126,9 @@ def _tag_by_shuffle(points, cells, out, x, y, key, cell, rows_per_salt=2_000_000
         "_salt", F.pmod(F.xxhash64(key), F.coalesce("_k", F.lit(1))).cast("int")).drop("_k")
     spread = cells.join(salts, ["cx", "cy"]).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).drop("_k")
-    zone = {c: F.col(c) for c in ("segments", "xmin", "xmax", "ymin", "ymax")}
+    hit = F.col("full") | inside(F.col("_x"), F.col("_y"), F.col("segments"))
     tags = (
-        narrow.join(spread, ["cx", "cy", "_salt"]).where(_holds(zone, F.col("_x"), F.col("_y")))
+        narrow.join(spread, ["cx", "cy", "_salt"]).where(hit)
         .groupBy(key).agg(F.min("zone_id").alias(out))
     )
     return points.join(tags, key, "left")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .quantiles import exact_quantiles
 
 MAX_SPLITS = 4096
+WIDE_SPLITS = 128  # up to here the splits of a key may become columns
 TOLERANCE = 1e-9
 
 
@@ -34,8 +35,8 @@ def _dyadic_rows(cuts, depth: int):
 
 def _explode_rows(df: DataFrame, rows) -> DataFrame:
     """A tree from SQL expressions over a one-row table."""
-    structs = ", ".join(f"struct({lvl}, {lo}, {mid}, {up})" for lvl, lo, mid, up in rows)
-    return bfs_order(df.selectExpr(f"inline(array({structs})) AS (lvl, lo, mid, up)"))
+    cells = ", ".join(f"{lvl}, {lo}, {mid}, {up}" for lvl, lo, mid, up in rows)
+    return bfs_order(df.selectExpr(f"stack({len(rows)}, {cells}) AS (lvl, lo, mid, up)"))
 
 
 def uniform_splits(bounds: DataFrame, depth: int) -> DataFrame:

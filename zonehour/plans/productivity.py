@@ -22,8 +22,7 @@ def productivity_table(rides: DataFrame, zones: DataFrame, cell: float = 1.0,
                        idle=(0.1, 60)) -> DataFrame:
     """Every ride whose successor allows a productivity, with its zone-hour node.
 
-    The zones are broadcast when small, so rides are shuffled once: by driver
-    and calendar day.
+    The zones are broadcast when small, so rides are shuffled once, by driver.
     """
-    seq = R.driver_sequence(priced_rides(tagged_rides(rides, zones, cell)))
+    seq = R.driver_sequence(priced_rides(tagged_rides(rides, zones, cell)), load=rides)
     return R.add_node(R.clean_gaps(R.drop_negative_gap(seq), idle=idle))

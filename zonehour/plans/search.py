@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import posterior as P
 from ..operators import validation as V
-from ..operators.counts import densify, roll_up
+from ..operators.counts import roll_up
 from ..operators.quantiles import exact_quantiles
 from ..operators.ranking import ordinal, scale_by_group_max
 from ..operators.reshape import to_longer
@@ -53,10 +53,9 @@ def bootstrap_samples(values: DataFrame, vertices: DataFrame, edges: DataFrame,
     starts every sample.
     """
     slots = P.bootstrap_slot_counts(values, splits, value, ["vertex"], samples, ident, seed)
-    sparse = roll_up(slots, splits, ["vertex", "sim"])
     cells = vertices.select("vertex").withColumn(
         "sim", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    dense = densify(sparse, cells, splits, ("vertex", "sim"))
+    dense = roll_up(slots, splits, ["vertex", "sim"], vertices=cells)
     number = F.col("split_id").cast("bigint") * samples + F.col("sim")
     counts = dense.withColumn("model_id", number)
     models = penalties.withColumn(

@@ -41,5 +41,4 @@ def spacetime(adjacency: DataFrame, values: DataFrame, splits: DataFrame,
     edges = G.spacetime_edges(adjacency, ranks)
     vertices = save_round(G.vertex_table(ranks, G.node_counts(values)), "vertices")
     placed = G.map_node_to_vertex(values.select("zone", "hour", value), vertices)
-    sparse = C.split_counts(placed, splits, value)
-    return SpaceTime(vertices, edges, C.densify(sparse, vertices, splits))
+    return SpaceTime(vertices, edges, C.split_counts(placed, splits, value, vertices=vertices))
