@@ -8,8 +8,10 @@ rank is located by counting:
 2. inside the bins that hold a wanted rank, count rows per equal-width sub-bin;
 3. inside those sub-bins, count rows per distinct value and pick the ranks.
 
-Every step is a scan with map-side combining; counts do not depend on order,
-so repeated or recomputed tasks agree. A hot value collapses to one row.
+Every step combines map-side; counts do not depend on order, so repeated or
+recomputed tasks agree. Without keys the wanted bins are a handful of rows and
+are broadcast. With keys, equal values are merged before anything is joined, so
+neither a hot key (spread over its bins) nor a hot value (one row) fills a task.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -17,13 +19,14 @@ from pyspark.sql import functions as F
 
 _SUB_BINS = 65536
 # Largest group ``percentile`` may hold: many keyed groups share a task, one unkeyed group does not.
-GATHER_ONE = 2_000_000
+GATHER_ONE = 100_000
 GATHER_KEYED = 20_000
 
 
-def _magnitude(v):
-    """Monotone integer bin, eight per octave: sign * (floor(8*log2|v|) + shift)."""
-    size = (F.floor(F.log2(F.abs(v)) * 8) + 10000).cast("int")
+def magnitude_bin(v, per_octave: int = 64):
+    """Monotone integer bin of a double: sign * (floor(per_octave*log2|v|) + shift)."""
+    shift = 1100 * per_octave
+    size = (F.floor(F.log2(F.abs(v)) * per_octave) + shift).cast("int")
     return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size)
 
 
@@ -67,13 +70,15 @@ def exact_quantiles(df: DataFrame, value: str, probs, keys=(),
     if gather_limit and _largest_group(df, keys) <= gather_limit:
         return _gathered(df, value, probs, keys)
     v = F.col("_v")
-    facts = (
-        df.select(*keys, F.col(value).cast("double").alias("_v")).where(v.isNotNull())
-        .withColumn("_bin", _magnitude(v))
-    )
+    facts = df.select(*keys, F.col(value).cast("double").alias("_v")).where(v.isNotNull())
+    if keys:
+        facts = facts.groupBy(*keys, "_v").agg(F.count("*").alias("n"))
+    else:
+        facts = facts.withColumn("n", F.lit(1).cast("bigint"))
+    facts = facts.withColumn("_bin", magnitude_bin(v))
     hist = _cumulate(
         facts.groupBy(*keys, "_bin").agg(
-            F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")),
+            F.sum("n").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")),
         keys, "_bin")
     if keys:
         total = hist.groupBy(*keys).agg(F.sum("n").alias("total"))
@@ -98,9 +103,9 @@ def exact_quantiles(df: DataFrame, value: str, probs, keys=(),
 
     bins = wanted.select(*keys, "_bin", "lo", "hi").distinct()
     fine = facts.join(small(bins), [*keys, "_bin"]).select(
-        *keys, "_bin", "_v", _sub(v, F.col("lo"), F.col("hi")).alias("_sub"))
+        *keys, "_bin", "_v", "n", _sub(v, F.col("lo"), F.col("hi")).alias("_sub"))
     sub_hist = _cumulate(
-        fine.groupBy(*keys, "_bin", "_sub").agg(F.count("*").alias("n")), [*keys, "_bin"], "_sub")
+        fine.groupBy(*keys, "_bin", "_sub").agg(F.sum("n").alias("n")), [*keys, "_bin"], "_sub")
     located = (
         wanted.join(sub_hist, [*keys, "_bin"])
         .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))
@@ -110,7 +115,7 @@ def exact_quantiles(df: DataFrame, value: str, probs, keys=(),
     cells = located.select(*keys, "_bin", "_sub").distinct()
     values = _cumulate(
         fine.join(small(cells), [*keys, "_bin", "_sub"])
-        .groupBy(*keys, "_bin", "_sub", "_v").agg(F.count("*").alias("n")),
+        .groupBy(*keys, "_bin", "_sub", "_v").agg(F.sum("n").alias("n")),
         [*keys, "_bin", "_sub"], "_v")
     hit = located.join(values, [*keys, "_bin", "_sub"]).where(
         (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))

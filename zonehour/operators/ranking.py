@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.quantiles import exact_quantiles
+from .quantiles import exact_quantiles, magnitude_bin
 
 
 def number_rows(df: DataFrame, order: str, out: str, block: int = 65536, base: int = 0) -> DataFrame:
@@ -39,16 +39,22 @@ def number_rows(df: DataFrame, order: str, out: str, block: int = 65536, base: i
 def average_ranks(df: DataFrame, groups, metrics) -> DataFrame:
     """Rank of each metric within its group, ties sharing their mean rank.
 
-    Counts per distinct value are formed first, so a hot tie costs one row.
+    Equal values are counted first, so a hot tie costs one row. Ranks then come
+    from the counts of lower magnitude bins plus a window inside one bin, so a
+    large group is spread over its bins.
     """
     groups = list(groups)
     out = df
+    before = Window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for m in metrics:
-        counts = df.groupBy(*groups, m).agg(F.count("*").alias("_n"))
-        upto = F.sum("_n").over(
-            Window.partitionBy(*groups).orderBy(m)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        ranks = counts.select(
+        counts = df.groupBy(*groups, m).agg(F.count("*").alias("_n")).withColumn(
+            "_bin", magnitude_bin(F.col(m).cast("double")))
+        bins = counts.groupBy(*groups, "_bin").agg(F.sum("_n").alias("_m"))
+        by_bin = before.partitionBy(*groups).orderBy("_bin")
+        bins = bins.select(*groups, "_bin", (F.sum("_m").over(by_bin) - F.col("_m")).alias("_low"))
+        inside = before.partitionBy(*groups, "_bin").orderBy(m)
+        upto = F.col("_low") + F.sum("_n").over(inside)
+        ranks = counts.join(bins, [*groups, "_bin"]).select(
             *groups, m, (upto - (F.col("_n") - 1) / 2).cast("double").alias(f"rank_{m}"))
         out = out.join(ranks, [*groups, m])
     return out

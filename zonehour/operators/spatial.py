@@ -171,16 +171,33 @@ def _boundary_cells(rings: DataFrame, cell: float, eps: float) -> DataFrame:
     )
 
 
+def _calm_cell(rings: DataFrame, cell: float, eps: float, limit: int) -> float:
+    """Halve the cell until no cell lists more than ``limit`` segments.
+
+    Stops when the listing has grown eightfold: then the segments really cross
+    one place and smaller cells would not part them.
+    """
+    first = None
+    while True:
+        load = _boundary_cells(rings, cell, eps).groupBy("cx", "cy").count().agg(
+            F.max("count").alias("top"), F.sum("count").alias("total")).first()
+        first = first or load["total"] or 1
+        if (load["top"] or 0) <= limit or load["total"] > 8 * first:
+            return cell
+        cell /= 2
+
+
 def zone_adjacency(zones: DataFrame, max_dist: float = 0.25, eps: float = 0.1,
-                   cell: float | None = None) -> DataFrame:
+                   cell: float | None = None, crowd: int = 1000) -> DataFrame:
     """(zone1 < zone2) pairs with close label points and touching boundaries.
 
-    Segments meet through grid cells about as wide as a segment, so a cell holds
-    the few boundaries that pass it. A boundary shared by two neighbours is one
-    row per direction; equal segments of a zone in a cell are merged first.
+    Segments meet through grid cells, starting about as wide as a segment and
+    halved while a cell is crowded, so a cell holds the few boundaries that pass
+    it. The label distance is then tested on touching pairs only.
     """
     rings = ring_table(zones)
-    seg = _boundary_cells(rings, cell or max_dist / 2, eps).dropDuplicates()
+    cell = _calm_cell(rings, cell or max_dist / 2, eps, crowd)
+    seg = _boundary_cells(rings, cell, eps).dropDuplicates()
     left = seg.select("cx", "cy", F.col("zone_id").alias("zone1"),
                       *[F.col(c).alias(f"p_{c}") for c in ("x1", "y1", "x2", "y2")])
     right = seg.select("cx", "cy", F.col("zone_id").alias("zone2"),
@@ -193,8 +210,14 @@ def zone_adjacency(zones: DataFrame, max_dist: float = 0.25, eps: float = 0.1,
         left.join(right, ["cx", "cy"]).where((c("zone1") < c("zone2")) & meet)
         .select("zone1", "zone2").distinct()
     )
-    return touching.join(
-        label_distance(rings, max_dist), ["zone1", "zone2"], "left_semi")
+    labels = label_points(rings)
+    one = labels.select(c("zone_id").alias("zone1"), c("lx").alias("x1"), c("ly").alias("y1"))
+    two = labels.select(c("zone_id").alias("zone2"), c("lx").alias("x2"), c("ly").alias("y2"))
+    return (
+        touching.join(one, "zone1").join(two, "zone2")
+        .where(distance(c("x1"), c("y1"), c("x2"), c("y2")) < max_dist)
+        .select("zone1", "zone2")
+    )
 
 
 def order_pairs(pairs: DataFrame) -> DataFrame:
