@@ -106,9 +106,9 @@ def uniform_split_tree(spark, sf):
         GROUP BY ALL HAVING count(*) >= 200),
   s AS (SELECT cast(lvl AS integer) AS lvl, lo + (hi - lo) / pow(2, lvl) * node AS lo,
         lo + (hi - lo) / pow(2, lvl) * (node + 0.5) AS mid, lo + (hi - lo) / pow(2, lvl) * (node + 1) AS up, n FROM n)
-  SELECT cast(row_number() OVER (ORDER BY lvl, lo) - 1 AS integer) AS split_id, lvl, {rs('lo', 'mid', 'up')}, n FROM s""")
+  SELECT cast(row_number() OVER (ORDER BY lvl, lo) - 1 AS integer) AS split_id, lvl, {rs('lo', 'mid', 'up', digits=5)}, n FROM s""")
 def dyadic_histogram_tree(spark, sf):
-    return rounded(T.dyadic_histogram_tree(X.cells(spark, sf), "productivity", 6, 200))
+    return rounded(T.dyadic_histogram_tree(X.cells(spark, sf), "productivity", 6, 200), 5)
 
 
 @query("union_split_families", f"""WITH {X.TREE}
