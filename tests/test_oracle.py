@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from workload.registry import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -14,14 +15,14 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).columns == ["zone", "hour", "level", "tail_prob"]
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, con, name):
     ok, text = check.compare(spark, con, SF_DIR, name)
     assert ok, text
