@@ -22,6 +22,11 @@ def keyed_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """All columns of ``docs`` in one struct ``row``, next to copies of the named ones: then nothing clashes."""
+    return docs.select(F.struct("*").alias("row"), *names)
+
+
 def text_rows(df: DataFrame, schema: str, work: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:
     """One output row for every input row: ``work`` gets a batch's columns as lists and returns columns."""
     arrow = _arrow_schema(df.sparkSession, schema)

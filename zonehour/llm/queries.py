@@ -2,13 +2,18 @@
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from zonehour.sources.shared import fresh_path
+
+from . import bpe, line_dedup, mixing, quality, sharding, token_files
 from .common import table
 
 QUERIES = {}
 ORACLES = {}
 
+MIX_SEED, SHARD_SEED, SHARDS = 5, 6, 40
+
 
 def query(name: str, sql: str | None = None):
     def keep(fn):
@@ -19,6 +24,48 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op1_quality_rules")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+LINE_DOCS = 10
+
+
+@query("op4_line_dedup", f"""
+    WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+    lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM split),
+    keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+    often AS (SELECT key AS often_key FROM keyed WHERE length(key) >= 1
+              GROUP BY key HAVING count(DISTINCT doc_id) >= {LINE_DOCS})
+    SELECT doc_id, count(*) AS n_lines, count(often_key) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE often_key IS NULL), '')) AS kept_sha256
+    FROM keyed LEFT JOIN often ON key = often_key GROUP BY doc_id""")
+def line_dedup_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, sf_dir, "documents"), LINE_DOCS)
+
+
+@query("op5_pfair_mixing")
+def pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("text"))
+    return mixing.mix(docs, seed=MIX_SEED).drop("text")
+
+
+@query("op6_stratified_shards")
+def stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digests(table(spark, sf_dir, "documents"), SHARDS, seed=SHARD_SEED)
+
+
+WORDS, END_ID = "word_bpe_49k.json", 1
+
+
+@query("op7_token_files")
+def token_file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.file_digests(table(spark, sf_dir, "documents"), fresh_path(spark, "tokens"),
+                                    public_tokenizers.path(WORDS), END_ID)
+
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
