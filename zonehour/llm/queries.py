@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from zonehour.sources.shared import fresh_path
 
-from . import bpe, line_dedup, mixing, quality, sharding, token_files
+from . import bpe, line_dedup, mixing, near_dedup, quality, sharding, token_files
 from .common import table
 
 QUERIES = {}
@@ -29,6 +29,11 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op2_near_dedup")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.class_ids(table(spark, sf_dir, "documents"))
+
+
 LINE_DOCS = 10
 
 
