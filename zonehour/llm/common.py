@@ -1,10 +1,15 @@
-"""Helpers that several operators share: inputs, Arrow rows, and ranks without a single hot task."""
+"""Helpers that several operators share: inputs, Arrow rows, shipped code, and ranks without a single hot task."""
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Fixed value: the white space that separates words, 0x20 and 0x09 to 0x0D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -27,16 +32,39 @@ def packed(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), *names)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once an application, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        package = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="code-"), f"{package.name}.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(archive))
+
+
+def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+              schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package's code at hand."""
+    ship(df.sparkSession)
+    return df.mapInArrow(work, schema)
+
+
 def text_rows(df: DataFrame, schema: str, work: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:
     """One output row for every input row: ``work`` gets a batch's columns as lists and returns columns."""
-    arrow = _arrow_schema(df.sparkSession, schema)
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 yield pa.RecordBatch.from_pydict(work(part.to_pydict()), schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def slices(batch: pa.RecordBatch, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
@@ -46,15 +74,8 @@ def slices(batch: pa.RecordBatch, limit: int = 16 << 20) -> Iterator[pa.RecordBa
         yield batch.slice(at, rows)
 
 
-def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(schema))
-
-
 def arrow_schema(schema: str) -> pa.Schema:
-    return _arrow_schema(None, schema)
+    return to_arrow_schema(StructType.fromDDL(schema))
 
 
 def seeded(seed: int, *cols) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql.types import StringType
 
 from zonehour.sources.shared import save_round
 
-from .common import arrow_schema, keyed_text, packed, slices, text_rows
+from .common import arrow_map, arrow_schema, keyed_text, packed, ship, slices, text_rows
 
 #: Fixed value: white space that is stripped from both ends of a line, as bytes.
 STRIPPED = b" \t\n\x0b\x0c\r"
@@ -61,7 +61,7 @@ def line_keys(docs: DataFrame) -> DataFrame:
                     [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ids, pa.int64()), pa.array(bodies, pa.int64()),
                      pa.array(places, pa.list_(pa.int32())), pa.array(counts, pa.int32())], schema=lines)
 
-    return docs.mapInArrow(split, LINES)
+    return arrow_map(docs, split, LINES)
 
 
 class RangeStream:
@@ -143,7 +143,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int | None = None) -> DataFrame:
         yield pa.RecordBatch.from_pylist(state.take(), schema=found_schema)
 
     found = save_round(
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(stream, FOUND), "line-ranges")
+        arrow_map(rows.repartitionByRange(*order).sortWithinPartitions(*order), stream, FOUND), "line-ranges")
     edges = found.where("kind = 'count'").groupBy("h1", "h2").agg(
         F.sum("n").alias("_docs"), F.min("part").alias("_first"))
     waiting = found.where("kind = 'wait'").join(edges, ["h1", "h2"])
@@ -194,6 +194,7 @@ def _kept(text: pd.Series, keep: pd.Series) -> pd.Series:
 
 def drop_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with their kept lines as ``text``; NULL stays NULL, and ``n_chars``, if there, is the new length."""
+    ship(docs.sparkSession)
     joined = with_bitmaps(docs, bitmaps)
     kept = joined.select("row", F.when(F.col("keep").isNull(), F.col("row.text")).otherwise(
         _kept(F.col("row.text"), F.col("keep"))).alias("text"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from zonehour.operators.graph import connected_components
 from zonehour.sources.shared import drop_round, save_round
 
-from .common import arrow_schema, keyed_text, packed, slices
+from .common import arrow_map, arrow_schema, keyed_text, packed, slices
 
 #: Words of a shingle; a shorter text is one shingle.
 WORDS = 5
@@ -127,7 +127,7 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
                         pa.array([r.tobytes() for r in short], pa.binary())], schema=schema)
 
     hashed = keyed_text(docs).withColumn("body", F.xxhash64("text"))
-    return hashed.mapInArrow(work, SKETCH)
+    return arrow_map(hashed, work, SKETCH)
 
 
 def shingle_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def shingle_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
     named = rows.select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "node")
     hashed = keyed_text(docs).withColumn("body", F.xxhash64("text"))
     found = hashed.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body")))
-    return found.select("node", "text").mapInArrow(work, SHINGLES).dropDuplicates(["node"])
+    return arrow_map(found.select("node", "text"), work, SHINGLES).dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -209,7 +209,7 @@ def across(buckets: DataFrame) -> DataFrame:
         if len(rows) > 1:
             yield pa.RecordBatch.from_pylist(compare(rows), schema=schema)
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, PAIRS).distinct()
+    return arrow_map(dealt.repartition(*keys).sortWithinPartitions(*keys), work, PAIRS).distinct()
 
 
 def labelled(nodes: DataFrame, components: DataFrame | None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from zonehour.sources.shared import fresh_path
 
-from . import bpe, line_dedup, mixing, near_dedup, quality, sharding, token_files
+from . import bpe, fingerprints, line_dedup, mixing, near_dedup, quality, sharding, token_files
 from .common import table
 
 QUERIES = {}
@@ -71,6 +71,11 @@ def token_file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     public_tokenizers.path(WORDS), END_ID)
 
 
+@query("op8_parsing_fingerprints")
+def parsing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_digests(table(spark, sf_dir, "documents"))
+
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 

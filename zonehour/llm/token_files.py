@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import arrow_schema, keyed_text, slices
+from .common import arrow_map, arrow_schema, keyed_text, slices
 
 #: Fixed values of the public seekable format.
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC, WITH_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -177,7 +177,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             "part": part, "path": f"part-{part:06d}.tokens", "n_docs": len(out.doc_ids), "n_tokens": out.n_tokens,
             "n_bytes": out.n_bytes}], schema=manifest)
 
-    ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    arrow_map(ordered, write, MANIFEST).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -211,7 +211,7 @@ def read_token_files(manifest: DataFrame, folder: str, doc_ids: Iterable[int] |
                             rows, size = [], 0
                     yield pa.RecordBatch.from_pylist(rows, schema=tokens)
 
-    return files.repartition("path").mapInArrow(read, TOKENS)
+    return arrow_map(files.repartition("path"), read, TOKENS)
 
 
 def file_digests(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int) -> DataFrame:
