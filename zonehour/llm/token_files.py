@@ -211,7 +211,7 @@ def read_token_files(manifest: DataFrame, folder: str, doc_ids: Iterable[int] |
                             rows, size = [], 0
                     yield pa.RecordBatch.from_pylist(rows, schema=tokens)
 
-    return arrow_map(files.repartition("path"), read, TOKENS)
+    return arrow_map(files.repartition(max(1, manifest.count()), "part"), read, TOKENS)
 
 
 def file_digests(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int) -> DataFrame:
