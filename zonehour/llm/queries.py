@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from zonehour.sources.shared import fresh_path
 
-from . import bpe, fingerprints, line_dedup, mixing, near_dedup, quality, sharding, token_files
+from . import bpe, fingerprints, html_text, licenses, line_dedup, mixing, near_dedup, quality, sharding, token_files
 from .common import table
 
 QUERIES = {}
@@ -34,6 +34,11 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.class_ids(table(spark, sf_dir, "documents"))
 
 
+@query("op3_html_text")
+def html_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 LINE_DOCS = 10
 
 
@@ -83,3 +88,8 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS),
                                 public_tokenizers.PATTERN)
+
+
+@query("op10_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
