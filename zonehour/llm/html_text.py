@@ -217,11 +217,15 @@ class Flow:
 
     def text(self, data: str, kept: bool = False) -> None:
         if kept:
+            if self.line and self.space:
+                self.line.append(" ")
+            self.space = False
             for i, piece in enumerate(data.split("\n")):
                 if i:
                     self.end_line(True)
+                if piece and not self.line:
+                    self._begin()
                 if piece:
-                    self._begin() if not self.line else None
                     self.line.append(piece)
             return
         words = data.translate(COLLAPSE).split(" ")

@@ -10,8 +10,9 @@ Classes are the connected components of all links; no group is ever paired with
 
 1. equal word sequences are one text from the start;
 2. in each bucket every text is compared with the bucket's least and greatest text; links make components;
-3. only buckets that still hold several components are searched in full: blocks of bounded size are
-   compared by their registers, pairs inside a component are skipped, and what looks similar is verified.
+3. only buckets that still hold several components are searched in full, in blocks of bounded size: texts of
+   different components whose registers look similar are verified where they meet, and a link is passed on
+   only if it joins components, so a block of n texts gives less than n rows.
 """
 
 from collections.abc import Iterator
@@ -42,7 +43,7 @@ BLOCK = 2048
 TOGETHER = 400
 
 SKETCH = "doc_id bigint, body bigint, node binary, n int, bands array<bigint>, registers binary"
-SHINGLES = "node binary, n int, shingles array<bigint>"
+SHINGLES = "node binary, n int, shingles binary"
 PAIRS = "a binary, b binary"
 
 #: Odd multipliers: of a shingle's words, and of the two rounds of mixing (fixed values of a public mixer).
@@ -131,7 +132,7 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(node, n, shingles) of the documents that ``rows`` (doc_id, body, node) names."""
+    """(node, n, shingles) of the documents that ``rows`` (doc_id, body, node) names; shingles as ascending 64-bit numbers."""
     schema = arrow_schema(SHINGLES)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +141,7 @@ def shingle_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
                 sets = [np.unique(shingle_hashes((t or "").encode().split())) for t in part["text"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([
                     part["node"], pa.array([len(s) for s in sets], pa.int32()),
-                    pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], schema=schema)
+                    pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
 
     named = rows.select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "node")
     hashed = keyed_text(docs).withColumn("body", F.xxhash64("text"))
@@ -148,20 +149,30 @@ def shingle_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return arrow_map(found.select("node", "text"), work, SHINGLES).dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose distinct shingles have a Jaccard similarity of 0.8 or more."""
-    pairs = save_round(pairs, "near-pairs")
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = save_round(shingle_sets(docs, texts.join(named, "node").select("doc_id", "body", "node")), "shingle-sets")
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("of_b"))
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    links = save_round(
-        pairs.join(left, "a").join(right, "b").where(9 * shared >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b"),
-        "near-links")
-    drop_round(pairs)
-    drop_round(sets)
-    return links
+def shared(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many of ``own`` (ascending) each of ``others`` has; none of them is empty."""
+    flat = np.concatenate(others)
+    place = np.searchsorted(own, flat)
+    place[place == len(own)] = 0
+    return np.add.reduceat(own[place] == flat, np.cumsum([0] + [len(o) for o in others[:-1]]))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose distinct shingles have a Jaccard similarity of 0.8 or more, as a written table."""
+    schema = arrow_schema(PAIRS)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                keep = []
+                for x, y in zip(part["of_a"].to_pylist(), part["of_b"].to_pylist()):
+                    own, other = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    keep.append(9 * int(shared(own, [other])[0]) >= 4 * (len(own) + len(other)))
+                yield pa.RecordBatch.from_arrays([part["a"], part["b"]], schema=schema).filter(pa.array(keep, pa.bool_()))
+
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
+    return save_round(arrow_map(pairs.join(left, "a").join(right, "b"), work, PAIRS), "near-links")
 
 
 def ordered_pairs(pairs: DataFrame) -> DataFrame:
@@ -171,45 +182,58 @@ def ordered_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def across(buckets: DataFrame) -> DataFrame:
-    """Pairs of texts of one bucket but different components whose registers agree often enough.
+    """Links between components: pairs (a, b) of one bucket whose shingles have a similarity of 0.8 or more.
 
-    ``buckets``: (bucket, node, component, registers). A bucket is cut into blocks by hash; each pair of
-    blocks is one piece of at most about twice BLOCK rows, compared as arrays where it arrives.
+    ``buckets``: (bucket, band, node, component, n, registers, shingles). A bucket is cut into blocks by
+    hash; each pair of blocks is one piece of at most about twice BLOCK rows, compared as arrays where it
+    arrives. A pair that meets in several bands is compared in the first.
     """
     sizes = buckets.groupBy("bucket").agg((F.floor((F.count("*") - 1) / BLOCK) + 1).cast("int").alias("_cuts"))
     cut = buckets.join(sizes, "bucket").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_cuts")).cast("int"))
+    keys, schema = ["bucket", "_i", "_j"], arrow_schema(PAIRS)
     dealt = cut.withColumn("_other", F.explode(F.expr("sequence(0, _cuts - 1)"))).select(
         "bucket", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"),
-        "_own", "node", "component", "registers")
-    keys, schema = ["bucket", "_i", "_j"], arrow_schema(PAIRS)
+        "_own", "band", "node", "component", "n", "registers", "shingles")
 
     def compare(rows: list[dict]) -> list[dict]:
-        nodes = np.array([r["node"] for r in rows], object)
         marks = np.frombuffer(b"".join(r["registers"] for r in rows), "<u4").reshape(len(rows), REGISTERS)
-        _, of = np.unique(np.array([r["component"] for r in rows], object), return_inverse=True)
-        own = np.array([r["_own"] for r in rows])
-        within = rows[0]["_i"] == rows[0]["_j"]
-        out = []
+        sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
+        sizes, own = np.array([r["n"] for r in rows]), np.array([r["_own"] for r in rows])
+        names: dict[bytes, int] = {}
+        of = np.array([names.setdefault(r["component"], len(names)) for r in rows])
+        band, within, out = rows[0]["band"], rows[0]["_i"] == rows[0]["_j"], []
         for x in range(len(rows) - 1):
-            others = np.arange(x + 1, len(rows))
-            others = others[(of[others] != of[x]) & (within | (own[others] != own[x]))]
-            alike = others[(marks[others] == marks[x]).sum(1) >= LEAST_AGREEMENT * REGISTERS]
-            out += [{"a": min(nodes[x], nodes[y]), "b": max(nodes[x], nodes[y])} for y in alike]
+            near = np.arange(x + 1, len(rows))
+            near = near[(of[near] != of[x]) & (within | (own[near] != own[x]))]
+            near = near[5 * np.minimum(sizes[near], sizes[x]) >= 4 * np.maximum(sizes[near], sizes[x])]
+            if not len(near):
+                continue
+            same = marks[near] == marks[x]
+            before = same[:, :band * ROWS].reshape(len(near), band, ROWS).all(2).any(1)
+            near = near[(same.sum(1) >= LEAST_AGREEMENT * REGISTERS) & ~before]
+            if not len(near):
+                continue
+            both = shared(sets[x], [sets[y] for y in near])
+            for y in near[9 * both >= 4 * (sizes[x] + sizes[near])]:
+                if of[y] != of[x]:
+                    out.append({"a": rows[x]["node"], "b": rows[y]["node"]})
+                    of[of == of[y]] = of[x]
         return out
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                if (now := tuple(row[k] for k in keys)) != key:
-                    if len(rows) > 1:
-                        yield pa.RecordBatch.from_pylist(compare(rows), schema=schema)
-                    key, rows = now, []
-                rows.append(row)
+            for part in slices(batch):
+                for row in part.to_pylist():
+                    if (now := tuple(row[k] for k in keys)) != key:
+                        if len(rows) > 1:
+                            yield pa.RecordBatch.from_pylist(compare(rows), schema=schema)
+                        key, rows = now, []
+                    rows.append(row)
         if len(rows) > 1:
             yield pa.RecordBatch.from_pylist(compare(rows), schema=schema)
 
-    return arrow_map(dealt.repartition(*keys).sortWithinPartitions(*keys), work, PAIRS).distinct()
+    return save_round(arrow_map(dealt.repartition(*keys).sortWithinPartitions(*keys), work, PAIRS), "across-links")
 
 
 def labelled(nodes: DataFrame, components: DataFrame | None) -> DataFrame:
@@ -236,28 +260,27 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
         F.min(F.struct("doc_id", "body")).alias("of"), F.any_value("n").alias("n"),
         F.any_value("bands").alias("bands"), F.any_value("registers").alias("registers")).select(
         "node", "of.doc_id", "of.body", "n", "bands", "registers"), "distinct-texts")
-    spread = texts.select("node", "n", F.explode("bands").alias("bucket"))
+    spread = texts.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
     crowded = spread.groupBy("bucket").agg(
         F.min(F.struct("node", "n")).alias("least"), F.max(F.struct("node", "n")).alias("greatest")).where(
         "least.node != greatest.node")
     members = save_round(spread.join(crowded, "bucket"), "buckets")
+    named = texts.join(members.select("node").distinct(), "node").select("doc_id", "body", "node")
+    sets = save_round(shingle_sets(docs, named), "shingle-sets")
     ends = members.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.explode(
         F.array("least", "greatest")).alias("end")).select("a", "n_a", F.col("end.node").alias("b"), F.col("end.n").alias("n_b"))
-    links = verified(ordered_pairs(ends), docs, texts)
+    links = verified(ordered_pairs(ends), sets)
     components = components_of(links)
     # What is left: texts of one bucket that no path of links joins yet.
-    held = labelled(members.select("bucket", "node"), components)
+    held = labelled(members.select("bucket", "band", "node"), components)
     split = held.groupBy("bucket").agg(F.min("component").alias("_from"), F.max("component").alias("_to")).where(
         "_from != _to").select("bucket")
-    open_ = held.join(split, "bucket").join(texts.select("node", "registers"), "node")
-    sized = texts.select("node", "n")
-    more = across(open_).join(sized.withColumnsRenamed({"node": "a", "n": "n_a"}), "a").join(
-        sized.withColumnsRenamed({"node": "b", "n": "n_b"}), "b")
-    found = verified(ordered_pairs(more), docs, texts)
+    open_ = held.join(split, "bucket").join(texts.select("node", "registers"), "node").join(sets, "node")
+    found = across(open_)
     if found.limit(1).count():
         components = components_of(links.union(found))
     classes = save_round(labelled(sketched.select("doc_id", "body", "node"), components), "near-classes")
-    for done in (members, texts, sketched):
+    for done in (members, sets, links, found, texts, sketched):
         drop_round(done)
     return classes
 
@@ -270,15 +293,16 @@ def class_ids(docs: DataFrame) -> DataFrame:
 
 
 def first_of_class(docs: DataFrame) -> DataFrame:
-    """One row of each class of ``docs``, that of the least (doc_id, text hash), with the columns of ``docs``.
+    """One row of each class of ``docs``, that of the least (doc_id, text hash), NULL ids last, with the columns of ``docs``.
 
     Only the rows that go, and those that come several times, are looked up; others pass without a shuffle
     where these are few.
     """
     classes = duplicate_classes(docs)
-    stays = classes.groupBy("component").agg(F.min(F.struct("doc_id", "body")).alias("stay"))
+    place = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "body")
+    stays = classes.groupBy("component").agg(F.min(place).alias("stay"))
     rows = classes.groupBy("component", "doc_id", "body").agg(F.count("*").alias("times")).join(stays, "component")
-    chosen = F.struct("doc_id", "body").eqNullSafe(F.col("stay"))
+    chosen = place.eqNullSafe(F.col("stay"))
     rows = save_round(rows.select(F.col("doc_id").alias("_gone"), F.col("body").alias("_text"),
                                   chosen.alias("_stays"), "times").where("not _stays or times > 1"), "near-losers")
     held = packed(docs, F.col("doc_id").cast("bigint").alias("_id"),
