@@ -205,17 +205,17 @@ def _time_chain(spark, sf):
 
 @query("read_trails", f"""WITH {_TRAILS} SELECT vertex::bigint AS vertex, {rs('weight')}, count(*) OVER (PARTITION BY zone)::bigint AS num_nodes FROM tr""")
 def read_trails(spark, sf):
-    return rounded(I.read_trails(spark, trail_path(spark, sf)).select("vertex", "weight", "num_nodes"))
+    return rounded(I.read_trails(spark, trail_path(spark, sf), lines=True).select("vertex", "weight", "num_nodes"))
 
 
 @query("trail_steps", f"WITH {_TRAILS} SELECT vertex::bigint AS vertex, next_vertex::bigint AS next_vertex FROM tr WHERE next_vertex IS NOT NULL")
 def trail_steps(spark, sf):
-    return G.trail_steps(I.read_trails(spark, trail_path(spark, sf))).select("vertex", "next_vertex")
+    return G.trail_steps(I.read_trails(spark, trail_path(spark, sf), lines=True)).select("vertex", "next_vertex")
 
 
 @query("expand_trails", f"WITH {_TRAILS} SELECT vertex::bigint AS vertex, next_vertex::bigint AS next_vertex, {rs('weight')}, temporal FROM te")
 def expand_trails(spark, sf):
-    trails = I.read_trails(spark, trail_path(spark, sf))
+    trails = I.read_trails(spark, trail_path(spark, sf), lines=True)
     return rounded(G.expand_trails(trails, _time_chain(spark, sf)).select(
         "vertex", "next_vertex", "weight", "temporal"))
 

@@ -5,6 +5,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import null_safe
 from .splits import WIDE_SPLITS, cut_points, slot_of, slot_paths
 
 
@@ -51,12 +52,18 @@ def roll_up(slots: DataFrame, splits: DataFrame, keys, closed: str = "left",
         return sparse if vertices is None else densify(sparse, vertices, splits, keys)
     rows = slots.select(*keys, "slot", F.col("n").cast("bigint").alias("n"))
     if vertices is not None:
-        rows = rows.unionByName(vertices.select(
-            *keys, F.lit(None).cast("int").alias("slot"), F.lit(0).cast("bigint").alias("n")))
+        rows = rows.withColumn("_listed", F.lit(False)).unionByName(vertices.select(
+            *keys, F.lit(None).cast("int").alias("slot"), F.lit(0).cast("bigint").alias("n"),
+            F.lit(True).alias("_listed")))
+        sums_of = [F.max("_listed").alias("_listed")]
+    else:
+        sums_of = []
     sums = [
         F.expr(f"coalesce(sum(n) FILTER (WHERE {_slot_filter(s)}), 0) AS {name}{i}")
         for i in ids for name, s in (("_s", left[i]), ("_a", left[i] + right[i]))]
-    wide = rows.repartition(*keys).groupBy(*keys).agg(*sums)
+    wide = rows.repartition(*keys).groupBy(*keys).agg(*sums, *sums_of)
+    if vertices is not None:
+        wide = wide.where("_listed")
     cells = ", ".join(f"{i}, _s{i}, _a{i}" for i in ids)
     long = wide.selectExpr(
         *keys, f"stack({len(ids)}, {cells}) AS (split_id, successes, attempts)")
@@ -68,7 +75,7 @@ def split_counts(values: DataFrame, splits: DataFrame, value: str = "productivit
                  vertices: DataFrame | None = None) -> DataFrame:
     """(keys, split_id, successes, attempts); dense over ``vertices`` when they are given.
 
-    ``vertices`` lists distinct keys and should cover those of the values.
+    Of the values only those with a key in ``vertices`` count; repeated vertices are one, NULL is a key.
     """
     slots = slot_counts(values, splits, value, list(keys), weight)
     return roll_up(slots, splits, keys, closed, vertices)
@@ -77,8 +84,8 @@ def split_counts(values: DataFrame, splits: DataFrame, value: str = "productivit
 def densify(counts: DataFrame, vertices: DataFrame, splits: DataFrame, keys=("vertex",)):
     """Add the zero rows to sparse counts: every vertex at every split."""
     ids = splits.agg(F.sort_array(F.collect_set("split_id"))).scalar()
-    full = vertices.select(*keys).withColumn("split_id", F.explode(ids))
-    return full.join(counts, [*keys, "split_id"], "left").select(
+    full = vertices.select(*keys).distinct().withColumn("split_id", F.explode(ids))
+    return null_safe(full, counts, [*keys, "split_id"], "left").select(
         *keys, "split_id",
         F.coalesce("successes", F.lit(0)).cast("bigint").alias("successes"),
         F.coalesce("attempts", F.lit(0)).cast("bigint").alias("attempts"))

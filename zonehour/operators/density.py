@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.likelihood import log_logistic
+from .joins import null_safe
 from .splits import WIDE_SPLITS, cut_points, leaf_of, split_paths
 
 
@@ -12,7 +13,8 @@ def leaf_probabilities(betas: DataFrame, splits: DataFrame, keys=("vertex",),
     """(keys, leaf, leaf_lo, leaf_up, log_prob, prob).
 
     ``betas`` holds every split of every key; samples have the sample number
-    among the keys. One shuffle brings the log-odds of a key together; there the
+    among the keys. A leaf below a split without log-odds has NULL mass; of repeated
+    log-odds the greatest counts. One shuffle brings the log-odds of a key together; there the
     splits become columns and every leaf is a sum over its ancestors, written out
     from the tree. Trees too large for that many columns join their path table.
     """
@@ -22,10 +24,14 @@ def leaf_probabilities(betas: DataFrame, splits: DataFrame, keys=("vertex",),
     # The tree is a parameter of some dozens of rows.
     paths = rows.limit(WIDE_SPLITS * WIDE_SPLITS).collect()
     if len({p["split_id"] for p in paths}) > WIDE_SPLITS or len(paths) == WIDE_SPLITS ** 2:
+        path = F.struct("leaf", "leaf_lo", "leaf_up", "split_id", "side")
+        tree = rows.agg(F.collect_list(path)).scalar()
+        one = together.groupBy(*keys, "split_id").agg(F.max("beta").alias("beta"))
+        steps = together.select(*keys).distinct().select(*keys, F.inline(tree))
+        term = log_logistic(F.col("beta") * F.col("side"))
         out = (
-            together.join(F.broadcast(rows), "split_id")
-            .groupBy(*keys, "leaf", "leaf_lo", "leaf_up")
-            .agg(F.sum(log_logistic(F.col("beta") * F.col("side"))).alias("log_prob"))
+            null_safe(steps, one, [*keys, "split_id"], "left").groupBy(*keys, "leaf", "leaf_lo", "leaf_up")
+            .agg(F.when(F.count("beta") == F.count("*"), F.sum(term)).alias("log_prob"))
         )
     else:
         out = _wide_leaves(together, paths, keys)
@@ -38,9 +44,10 @@ def _wide_leaves(betas: DataFrame, paths, keys) -> DataFrame:
     logs = betas.select(
         *keys, "split_id", log_logistic(F.col("beta")).alias("_left"),
         log_logistic(-F.col("beta")).alias("_right"))
+    # The greatest log-odds has the greatest left and the least right logarithm.
     wide = logs.groupBy(*keys).agg(*[
-        F.expr(f"coalesce(max({side}) FILTER (WHERE split_id = {i}), 0D) AS {side}{i}")
-        for i in ids for side in ("_left", "_right")])
+        F.expr(f"{most}({side}) FILTER (WHERE split_id = {i}) AS {side}{i}")
+        for i in ids for side, most in (("_left", "max"), ("_right", "min"))])
     leaves = {}
     for p in paths:
         term = f"{'_left' if p['side'] > 0 else '_right'}{p['split_id']}"
@@ -95,6 +102,14 @@ def density(leaves: DataFrame) -> DataFrame:
     return leaves.withColumn("density", F.col("prob") / (F.col("leaf_up") - F.col("leaf_lo")))
 
 
+def _log_density(leaves: DataFrame):
+    """ln(mass / width) from the log mass where there is one: no mass gives minus infinity, not NULL."""
+    log_mass = F.when(F.col("prob") == 0, float("-inf")).otherwise(F.ln("prob"))
+    if "log_prob" in leaves.columns:
+        log_mass = F.coalesce("log_prob", log_mass)
+    return log_mass - F.ln(F.col("leaf_up") - F.col("leaf_lo"))
+
+
 def log_density_at(values: DataFrame, leaves: DataFrame, splits: DataFrame, value: str,
                    keys=("vertex",)) -> DataFrame:
     """log density of each value under its key's distribution; NULL outside the tree.
@@ -103,8 +118,7 @@ def log_density_at(values: DataFrame, leaves: DataFrame, splits: DataFrame, valu
     (key, leaf, value) neither sorted nor gathered, only joined on (key, leaf).
     """
     cuts = cut_points(splits)
-    dens = leaves.select(*keys, "leaf", F.ln(
-        F.col("prob") / (F.col("leaf_up") - F.col("leaf_lo"))).alias("log_density"))
+    dens = leaves.select(*keys, "leaf", _log_density(leaves).alias("log_density"))
     return values.withColumn("leaf", leaf_of(value, cuts)).join(
         dens, [*keys, "leaf"], "left")
 
@@ -120,8 +134,7 @@ def heldout_nll(values: DataFrame, leaves: DataFrame, splits: DataFrame, value:
         values.select(*keys, *by, leaf_of(value, cuts).alias("leaf"))
         .where(F.col("leaf").isNotNull()).groupBy(*keys, *by, "leaf").agg(F.count("*").alias("n"))
     )
-    dens = leaves.select(*keys, "leaf", F.ln(
-        F.col("prob") / (F.col("leaf_up") - F.col("leaf_lo"))).alias("log_density"))
+    dens = leaves.select(*keys, "leaf", _log_density(leaves).alias("log_density"))
     return cells.join(dens, [*keys, "leaf"]).groupBy(*by).agg(
         (-F.sum(F.col("log_density") * F.col("n")) / F.sum("n")).alias("nll"),
         F.sum("n").cast("bigint").alias("n"))
@@ -193,10 +206,15 @@ def expected_value(points: DataFrame, keys, at: str = "midpoint", out: str = "me
 
 
 def geometric_mean_density(df: DataFrame, value: str = "prob", point: str = "x_num") -> DataFrame:
-    """exp(mean(log p)) per point over all zones and hours, normalised over points."""
-    per_point = df.groupBy(point).agg(F.exp(F.avg(F.ln(value))).alias("prob"))
+    """exp(mean(log p)) per point over all zones and hours, normalised over points.
+
+    One zero makes a point's mean zero; NULLs don't count.
+    """
+    log = F.when(F.col(value) == 0, float("-inf")).otherwise(F.ln(value))
+    per_point = df.groupBy(point).agg(F.exp(F.avg(log)).alias("prob"))
     # One row per evaluation point remains.
-    return per_point.withColumn("prob", F.col("prob") / F.sum("prob").over(Window.partitionBy()))
+    total = F.sum("prob").over(Window.partitionBy())
+    return per_point.withColumn("prob", F.when(total > 0, F.col("prob") / total).otherwise(F.col("prob")))
 
 
 def trapezoid_weights(grid: DataFrame, order: str = "x_num", x: str = "x") -> DataFrame:

@@ -17,6 +17,8 @@ neither a hot key (spread over its bins) nor a hot value (one row) fills a task.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import null_safe
+
 _SUB_BINS = 65536
 # Largest group ``percentile`` may hold: many keyed groups share a task, one unkeyed group does not.
 GATHER_ONE = 100_000
@@ -24,15 +26,22 @@ GATHER_KEYED = 20_000
 
 
 def magnitude_bin(v, per_octave: int = 64):
-    """Monotone integer bin of a double: sign * (floor(per_octave*log2|v|) + shift)."""
+    """Monotone integer bin of a double: sign * (floor(per_octave*log2|v|) + shift).
+
+    Infinities have the outermost bins, and NaN one above all others, where Spark sorts it.
+    """
     shift = 1100 * per_octave
-    size = (F.floor(F.log2(F.abs(v)) * per_octave) + shift).cast("int")
-    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size)
+    outer = 3 * shift
+    finite = F.when(F.abs(v) < float("inf"), F.abs(v))
+    size = (F.floor(F.log2(finite) * per_octave) + shift).cast("int")
+    return (
+        F.when(F.isnan(v), F.lit(outer + 1)).when(v == float("inf"), F.lit(outer))
+        .when(v == float("-inf"), F.lit(-outer)).when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size))
 
 
 def _sub(v, lo, hi):
     width = F.when(hi > lo, hi - lo)
-    cell = F.floor((v - lo) / width * _SUB_BINS)
+    cell = F.floor((v - lo) / F.when(width < float("inf"), width) * _SUB_BINS)
     return F.coalesce(F.least(cell, F.lit(_SUB_BINS - 1)), F.lit(0)).cast("int")
 
 
@@ -61,6 +70,8 @@ def exact_quantiles(df: DataFrame, value: str, probs, keys=(),
                     gather_limit: int | None = None) -> DataFrame:
     """Rows (keys..., prob, quantile), type-7 interpolation, NULL values ignored.
 
+    A NULL key is a group; NaN sorts above infinity. Both ways agree on all of these.
+
     One count of the largest group decides between the two ways.
     """
     keys = list(keys)
@@ -82,7 +93,7 @@ def exact_quantiles(df: DataFrame, value: str, probs, keys=(),
         keys, "_bin")
     if keys:
         total = hist.groupBy(*keys).agg(F.sum("n").alias("total"))
-        hist = hist.join(total, keys)
+        hist = null_safe(hist, total, keys)
     else:
         hist = hist.withColumn("total", F.sum("n").over(Window.partitionBy()))
     # Both neighbours of every fractional rank (0-based).
@@ -102,29 +113,34 @@ def exact_quantiles(df: DataFrame, value: str, probs, keys=(),
         return t if keys else F.broadcast(t)
 
     bins = wanted.select(*keys, "_bin", "lo", "hi").distinct()
-    fine = facts.join(small(bins), [*keys, "_bin"]).select(
+    fine = null_safe(facts, small(bins), [*keys, "_bin"]).select(
         *keys, "_bin", "_v", "n", _sub(v, F.col("lo"), F.col("hi")).alias("_sub"))
     sub_hist = _cumulate(
         fine.groupBy(*keys, "_bin", "_sub").agg(F.sum("n").alias("n")), [*keys, "_bin"], "_sub")
     located = (
-        wanted.join(sub_hist, [*keys, "_bin"])
+        null_safe(wanted, sub_hist, [*keys, "_bin"])
         .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))
         .select(*keys, "prob", "side", "weight", "_bin", "_sub",
                 (F.col("rank") - F.col("before")).alias("rank"))
     )
     cells = located.select(*keys, "_bin", "_sub").distinct()
     values = _cumulate(
-        fine.join(small(cells), [*keys, "_bin", "_sub"])
+        null_safe(fine, small(cells), [*keys, "_bin", "_sub"])
         .groupBy(*keys, "_bin", "_sub", "_v").agg(F.sum("n").alias("n")),
         [*keys, "_bin", "_sub"], "_v")
-    hit = located.join(values, [*keys, "_bin", "_sub"]).where(
+    hit = null_safe(located, values, [*keys, "_bin", "_sub"]).where(
         (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))
     both = hit.groupBy(*keys, "prob").agg(
         F.max(F.when(F.col("side") == 0, v)).alias("a"),
         F.max(F.when(F.col("side") == 1, v)).alias("b"),
         F.max("weight").alias("w"))
+    # Equal neighbours are taken as they are: infinities have no difference.
+    between = F.col("a") + (F.col("b") - F.col("a")) * F.col("w")
+    ends = F.abs(F.col("a")) + F.abs(F.col("b")) == float("inf")
+    mixed = F.when(ends, (1 - F.col("w")) * F.col("a") + F.col("w") * F.col("b")).otherwise(between)
     return both.select(
-        *keys, "prob", (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("quantile"))
+        *keys, "prob",
+        F.when((F.col("w") == 0) | (F.col("a") == F.col("b")), F.col("a")).otherwise(mixed).alias("quantile"))
 
 
 def quantile_columns(df: DataFrame, value: str, names: dict[str, float], keys,

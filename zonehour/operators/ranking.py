@@ -3,22 +3,26 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import null_safe
 from .quantiles import exact_quantiles, magnitude_bin
 
 
 def number_rows(df: DataFrame, order: str, out: str, block: int = 65536, base: int = 0) -> DataFrame:
     """Dense numbering by a unique, non-negative integer column, in parallel.
 
-    A counted table of at most ``block`` rows is numbered by one window. Beyond,
+    A NULL value, of which there may be one, comes first. A counted table of at most ``block`` rows is numbered by one window. Beyond,
     rows are numbered inside blocks of ``block`` consecutive order values; the
     rows before each block come from a running sum over block counts, a table
     ``block`` times smaller. That table is itself folded once more, so the one
     unpartitioned window sees count/block**2 rows.
     """
-    if df.count() <= block:
+    facts = df.agg(F.count("*").alias("n"), F.coalesce(F.max(order), F.lit(0)).cast("decimal(38,0)").alias("top")).first()
+    if facts["n"] <= block:
         number = F.row_number().over(Window.orderBy(order)) - 1 + base
         return df.withColumn(out, number.cast("bigint"))
-    blocked = df.withColumn("_b", F.floor(F.col(order) / block)).withColumn(
+    # Sparse values get wider blocks, so that there are about as many blocks as full ones would be.
+    width = max(block, (int(facts["top"]) + 1) * block // facts["n"])
+    blocked = df.withColumn("_b", F.coalesce(F.expr(f"{order} div {width}L"), F.lit(-1))).withColumn(
         "_bb", F.floor(F.col("_b") / block))
     counts = blocked.groupBy("_bb", "_b").agg(F.count("*").alias("_n"))
     outer = counts.groupBy("_bb").agg(F.sum("_n").alias("_n"))
@@ -41,22 +45,23 @@ def average_ranks(df: DataFrame, groups, metrics) -> DataFrame:
 
     Equal values are counted first, so a hot tie costs one row. Ranks then come
     from the counts of lower magnitude bins plus a window inside one bin, so a
-    large group is spread over its bins.
+    large group is spread over its bins. A NULL metric has no rank and counts for
+    none; a NULL group is a group.
     """
     groups = list(groups)
     out = df
     before = Window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for m in metrics:
-        counts = df.groupBy(*groups, m).agg(F.count("*").alias("_n")).withColumn(
+        counts = df.where(F.col(m).isNotNull()).groupBy(*groups, m).agg(F.count("*").alias("_n")).withColumn(
             "_bin", magnitude_bin(F.col(m).cast("double")))
         bins = counts.groupBy(*groups, "_bin").agg(F.sum("_n").alias("_m"))
         by_bin = before.partitionBy(*groups).orderBy("_bin")
         bins = bins.select(*groups, "_bin", (F.sum("_m").over(by_bin) - F.col("_m")).alias("_low"))
         inside = before.partitionBy(*groups, "_bin").orderBy(m)
         upto = F.col("_low") + F.sum("_n").over(inside)
-        ranks = counts.join(bins, [*groups, "_bin"]).select(
+        ranks = null_safe(counts, bins, [*groups, "_bin"]).select(
             *groups, m, (upto - (F.col("_n") - 1) / 2).cast("double").alias(f"rank_{m}"))
-        out = out.join(ranks, [*groups, m])
+        out = null_safe(out, ranks, [*groups, m], "left")
     return out
 
 
@@ -68,7 +73,7 @@ def rank_summary(ranked: DataFrame, by, metrics) -> DataFrame:
 def scale_by_group_max(df: DataFrame, groups, column: str, out: str) -> DataFrame:
     """column / max(column) of its group; the maximum is pre-aggregated, then joined."""
     top = df.groupBy(*groups).agg(F.max(column).alias("_max"))
-    return df.join(top, list(groups)).withColumn(out, F.col(column) / F.col("_max")).drop("_max")
+    return null_safe(df, top, groups).withColumn(out, F.col(column) / F.col("_max")).drop("_max")
 
 
 def clip_at_quantile(df: DataFrame, column: str, out: str, prob: float = 0.05, keys=()) -> DataFrame:
@@ -76,7 +81,7 @@ def clip_at_quantile(df: DataFrame, column: str, out: str, prob: float = 0.05, k
     q = exact_quantiles(df, column, [prob], keys=keys).drop("prob").withColumnRenamed(
         "quantile", "_q")
     if keys:
-        joined = df.join(q, list(keys))
+        joined = null_safe(df, q, keys)
         bound = F.col("_q")
     else:
         joined, bound = df, q.scalar()

@@ -53,6 +53,8 @@ def union_tables(first: DataFrame, *others: DataFrame) -> DataFrame:
 def natural_full_join(a: DataFrame, b: DataFrame) -> DataFrame:
     """Full outer join on every shared column, NULL matching NULL."""
     shared = [c for c in a.columns if c in b.columns]
+    if not shared:
+        raise ValueError("the tables share no column; a natural join would pair all rows")
     left, right = a.alias("l"), b.alias("r")
     on = F.lit(True)
     for c in shared:

@@ -58,13 +58,15 @@ def _bucketed(df: DataFrame, driver: str, bucket: str, load: DataFrame, hot_rows
     Returns the table and whether any driver is busy. At most rows/hot_rows
     drivers can be, and that number is counted before they are broadcast.
     """
-    hot = load.groupBy(driver).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
+    hot = load.where(F.col(driver).isNotNull()).groupBy(driver).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
     hot = hot.select(driver, F.lit(True).alias("_hot"))
     busy = hot.limit(100_001).count()
     if busy == 0:
         return df.withColumn("_bucket", F.lit(None).cast("timestamp_ntz")), False
     flagged = df.join(F.broadcast(hot) if busy <= 100_000 else hot, driver, "left")
-    start = F.date_trunc(bucket, F.col("started_on")).cast("timestamp_ntz")
+    # Rides without a start come first, as in the other drivers' windows.
+    start = F.coalesce(F.date_trunc(bucket, F.col("started_on")).cast("timestamp_ntz"),
+                       F.lit("0001-01-01").cast("timestamp_ntz"))
     return flagged.withColumn("_bucket", F.when(F.col("_hot"), start)).drop("_hot"), True
 
 
@@ -78,11 +80,12 @@ def driver_sequence(df: DataFrame, driver: str = "driver_id", bucket: str = "day
     takes its successor from the first ride of the driver's next bucket; those
     first rides form a table with one row per busy driver and bucket. Everyone
     else takes one shuffle and one window. Ties in the start time are ordered by
-    ride id.
+    ride id. Rides without a driver are dropped; rides without a start come first.
     """
     ahead = F.struct("started_on", "created_date", "completed_on", "fare_estimate",
                      "fare_estimate_with_surge")
     inside = Window.partitionBy(driver, "_bucket").orderBy("started_on", "ride_id")
+    df = df.where(F.col(driver).isNotNull())
     rides, any_hot = _bucketed(df, driver, bucket, df if load is None else load, hot_rows)
     flagged = rides
     rides = rides.withColumn("_next", F.lead(ahead).over(inside))

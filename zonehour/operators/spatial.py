@@ -20,6 +20,12 @@ def ring_table(zones: DataFrame) -> DataFrame:
     })
 
 
+def ring_size(rings: DataFrame) -> float:
+    """The median over the layer's rings of the longer side of their bounding boxes; 1 for an empty layer."""
+    side = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    return rings.agg(F.percentile_approx(side, 0.5)).first()[0] or 1.0
+
+
 def label_points(rings: DataFrame) -> DataFrame:
     """One label point per zone: the middle of its bounding box over all rings."""
     return rings.groupBy("zone_id").agg(
@@ -74,7 +80,7 @@ def zone_cells(rings: DataFrame, cell: float) -> DataFrame:
 
 
 def tag_zone(points: DataFrame, zones: DataFrame, ends: dict[str, tuple[str, str]],
-             key: str = "ride_id", cell: float = 1.0,
+             key: str = "ride_id", cell: float | None = None,
              broadcast_segments: int = BROADCAST_SEGMENTS) -> DataFrame:
     """Add one zone column per entry of ``ends`` ({out: (x, y)}), NULL outside all zones.
 
@@ -83,10 +89,13 @@ def tag_zone(points: DataFrame, zones: DataFrame, ends: dict[str, tuple[str, str
     zone id. The zone layer is measured first. Up to ``broadcast_segments`` listed
     segments it is broadcast by cell and the points are not shuffled at all, both
     ends of a trip being tagged in one pass. A larger layer is joined by shuffle,
-    with points of crowded cells spread over salts.
+    with points of crowded cells spread over salts: each place is tagged once, and
+    its zone goes to all points there, whatever their ``key``. Cells are as wide as
+    the layer's median ring unless ``cell`` is given.
     """
-    cell = binary_size(cell)
-    cells = zone_cells(ring_table(zones), cell)
+    rings = ring_table(zones)
+    cell = binary_size(cell or ring_size(rings))
+    cells = zone_cells(rings, cell)
     size = F.coalesce(F.size("segments"), F.lit(0)) + 1
     listed = cells.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     if listed > broadcast_segments:
@@ -94,28 +103,27 @@ def tag_zone(points: DataFrame, zones: DataFrame, ends: dict[str, tuple[str, str
             points = _tag_by_shuffle(points, cells, out, x, y, key, cell)
         return points
     border = F.when(~F.col("full"), F.struct("zone_id", "segments"))
-    lookup = F.broadcast(cells.groupBy("cx", "cy").agg(
+    lookup = F.broadcast(cells.groupBy(F.col("cx").alias("_cx"), F.col("cy").alias("_cy")).agg(
         F.min(F.when(F.col("full"), F.col("zone_id"))).alias("_full"),
         F.collect_list(border).alias("_border")))
     for out, (x, y) in ends.items():
         px, py = F.col(x), F.col(y)
-        points = points.withColumns({"cx": _cell_id(px, cell), "cy": _cell_id(py, cell)})
+        points = points.withColumns({"_cx": _cell_id(px, cell), "_cy": _cell_id(py, cell)})
         hits = F.filter("_border", lambda z: inside(px, py, z["segments"]))
         near = F.array_min(F.transform(hits, lambda z: z["zone_id"]))
         points = (
-            points.join(lookup, ["cx", "cy"], "left")
+            points.join(lookup, ["_cx", "_cy"], "left")
             .withColumn(out, F.least(
                 F.col("_full"), F.when(F.size("_border") > 0, near)))
-            .drop("cx", "cy", "_full", "_border")
+            .drop("_cx", "_cy", "_full", "_border")
         )
     return points
 
 
 def _tag_by_shuffle(points, cells, out, x, y, key, cell, rows_per_salt=2_000_000):
     px, py = F.col(x), F.col(y)
-    narrow = points.select(
-        key, px.alias("_x"), py.alias("_y"), _cell_id(px, cell).alias("cx"),
-        _cell_id(py, cell).alias("cy"))
+    narrow = points.select(px.alias("_x"), py.alias("_y")).distinct().select(
+        "_x", "_y", _cell_id(F.col("_x"), cell).alias("cx"), _cell_id(F.col("_y"), cell).alias("cy"))
     load = narrow.groupBy("cx", "cy").agg(F.count("*").alias("_n"))
     salts = load.select("cx", "cy", F.ceil(F.col("_n") / rows_per_salt).cast("int").alias("_k"))
     # Crowded cells are at most rows/rows_per_salt many; anything else has one salt.
@@ -123,15 +131,15 @@ def _tag_by_shuffle(points, cells, out, x, y, key, cell, rows_per_salt=2_000_000
     few = hot.limit(100_001).count() <= 100_000
     narrow = narrow.join(F.broadcast(hot) if few else hot, ["cx", "cy"], "left")
     narrow = narrow.withColumn(
-        "_salt", F.pmod(F.xxhash64(key), F.coalesce("_k", F.lit(1))).cast("int")).drop("_k")
+        "_salt", F.pmod(F.xxhash64("_x", "_y"), F.coalesce("_k", F.lit(1))).cast("int")).drop("_k")
     spread = cells.join(salts, ["cx", "cy"]).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).drop("_k")
     hit = F.col("full") | inside(F.col("_x"), F.col("_y"), F.col("segments"))
     tags = (
         narrow.join(spread, ["cx", "cy", "_salt"]).where(hit)
-        .groupBy(key).agg(F.min("zone_id").alias(out))
+        .groupBy("_x", "_y").agg(F.min("zone_id").alias(out))
     )
-    return points.join(tags, key, "left")
+    return points.join(tags, (px == F.col("_x")) & (py == F.col("_y")), "left").drop("_x", "_y")
 
 
 def label_distance(rings: DataFrame, max_dist: float) -> DataFrame:

@@ -8,7 +8,7 @@ from ..operators.spatial import tag_zone
 ENDS = {"start_zone": ("start_x", "start_y"), "end_zone": ("end_x", "end_y")}
 
 
-def tagged_rides(rides: DataFrame, zones: DataFrame, cell: float = 1.0) -> DataFrame:
+def tagged_rides(rides: DataFrame, zones: DataFrame, cell: float | None = None) -> DataFrame:
     """Zones of both trip ends; rides outside the zones are dropped."""
     return R.drop_outside(tag_zone(rides, zones, ENDS, cell=cell))
 

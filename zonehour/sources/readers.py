@@ -45,23 +45,26 @@ def read_headerless(spark: SparkSession, path: str, schema: str, skip_header: bo
     return spark.read.schema(schema).csv(path, header=skip_header)
 
 
-def read_trails(spark: SparkSession, path: str) -> DataFrame:
+def read_trails(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Struct-of-arrays trail documents as one row per visited position.
 
-    Breaks hold the 1-based first position of every trail, closed by the end.
+    Breaks hold the 1-based first position of every trail, closed by the end. A file
+    holds one document, however it is broken into lines, or with ``lines`` one
+    document a line. Input that isn't such a document is an error.
     """
     docs = (
-        spark.read.schema(TRAILS_SCHEMA).json(path)
-        .withColumn("doc", F.xxhash64(F.col("ptr"), F.col("brks")))
-    )
-    steps = docs.select(
-        "doc", "brks", "num_nodes",
-        F.posexplode(F.arrays_zip("ptr", "wts", "istemp")).alias("pos", "step"),
+        spark.read.schema(TRAILS_SCHEMA).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
+        .withColumn("doc", F.xxhash64(F.col("_metadata.file_path"), F.col("ptr"), F.col("brks")))
+        .withColumn("_steps", F.arrays_zip("ptr", "wts", "istemp"))
     )
+    trails = docs.select("doc", "brks", "num_nodes", "_steps", F.posexplode("brks").alias("_i", "_from"))
+    upto = F.coalesce(F.get("brks", F.col("_i") + 1), F.size("_steps") + 1)
+    own = F.slice("_steps", F.col("_from").cast("int"), F.greatest(upto - F.col("_from"), F.lit(0)).cast("int"))
+    steps = trails.select("doc", "num_nodes", "_i", "_from", F.posexplode(own).alias("_at", "step"))
     return steps.select(
         "doc",
-        F.size(F.filter("brks", lambda b: b <= F.col("pos") + 1)).alias("trail_no"),
-        "pos",
+        (F.col("_i") + 1).alias("trail_no"),
+        (F.col("_from") - 1 + F.col("_at")).cast("int").alias("pos"),
         F.col("step.ptr").alias("vertex"),
         F.col("step.wts").alias("weight"),
         (F.col("step.istemp") == 1).alias("temporal"),
