@@ -6,6 +6,7 @@ tests run them to convergence.
 
 from pyspark.sql import functions as F
 
+from zonehour.functions.likelihood import poisson_steps
 from zonehour.operators import counts as C
 from zonehour.operators import graph as G
 from zonehour.operators import posterior as P
@@ -263,8 +264,7 @@ def fit_best(spark, sf):
 
 def _poisson_sql(sim):
     u = X.hash_sql("ride_id", sim + 1)
-    return " + ".join(f"CASE WHEN {u} >= {c} THEN 1 ELSE 0 END"
-                      for c in (0.3679, 0.7358, 0.9197, 0.9810, 0.9963, 0.9994))
+    return " + ".join(f"CASE WHEN {u} >= {c!r}::double THEN 1 ELSE 0 END" for c in poisson_steps())
 
 
 @query("bootstrap_counts", f"""WITH {X.TREE}, w AS (SELECT zone, productivity, sim, n FROM (

@@ -1,5 +1,7 @@
 """Logistic and binomial expressions, penalties, and the 32-bit hash uniform."""
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,11 +66,20 @@ def hash_uniform(ident, salt=0) -> Column:
     return ((h * 1664525 + 1013904223) % 4294967296) / F.lit(4294967296.0)
 
 
+def poisson_steps(resolution: float = 2.0**-32) -> list[float]:
+    """Poisson(1) cumulative probabilities, until what is left can't be told apart by the hash."""
+    steps, term, total, k = [], math.exp(-1), 0.0, 0
+    while 1 - total > resolution:
+        total += term
+        steps.append(total)
+        k += 1
+        term /= k
+    return steps
+
+
 def poisson_one(uniform) -> Column:
     """Poisson(1) draw by thresholds of its distribution function."""
-    # Poisson(1) cumulative probabilities, four digits.
-    steps = (0.3679, 0.7358, 0.9197, 0.9810, 0.9963, 0.9994)
     draw = F.lit(0)
-    for cut in steps:
+    for cut in poisson_steps():
         draw = draw + (uniform >= cut).cast("int")
     return draw

@@ -3,6 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Sine of the angle below which two directions count as parallel, whatever the unit of length.
 _FLAT = 1e-12
 
 
@@ -47,7 +48,9 @@ def segments_intersect(p1, p2, q1, q2, eps: float = 0.0) -> Column:
     wx, wy = q1[0] - p1[0], q1[1] - p1[1]
     cross = rx * sy - ry * sx
     lo, hi = F.lit(-eps), F.lit(1.0 + eps)
-    safe = F.when(F.abs(cross) > _FLAT, cross)
+    long_r, long_s = F.sqrt(rx * rx + ry * ry), F.sqrt(sx * sx + sy * sy)
+    crossing = F.abs(cross) > _FLAT * long_r * long_s
+    safe = F.when(crossing, cross)
     t, u = (wx * sy - wy * sx) / safe, (wx * ry - wy * rx) / safe
     proper = t.between(lo, hi) & u.between(lo, hi)
     # Parallel: both ends of q projected on p, when q lies on p's line.
@@ -55,10 +58,10 @@ def segments_intersect(p1, p2, q1, q2, eps: float = 0.0) -> Column:
     a = (wx * rx + wy * ry) / length2
     b = ((q2[0] - p1[0]) * rx + (q2[1] - p1[1]) * ry) / length2
     stretch = F.abs(b - a) * eps
-    on_line = F.abs(wx * ry - wy * rx) <= _FLAT
+    on_line = F.abs(wx * ry - wy * rx) <= _FLAT * long_r * F.sqrt(wx * wx + wy * wy)
     overlap = (F.greatest(a, b) + stretch >= lo) & (F.least(a, b) - stretch <= hi)
     return F.coalesce(
-        F.when(F.abs(cross) > _FLAT, proper).otherwise(on_line & overlap), F.lit(False)
+        F.when(crossing, proper).otherwise(on_line & overlap), F.lit(False)
     )
 
 

@@ -127,12 +127,14 @@ def heldout_nll(values: DataFrame, leaves: DataFrame, splits: DataFrame, value:
                 keys=("vertex",), by=()) -> DataFrame:
     """Mean negative log density over the values, per group in ``by``.
 
-    Values are first counted per (key, leaf), so the join sees cells, not rows.
+    Values are first counted per (key, leaf), so the join sees cells, not rows. With the fold among
+    ``keys`` and ``by``, ``leaves`` are those fitted without that fold; a value in a leaf without mass
+    costs infinity.
     """
     cuts = cut_points(splits)
     cells = (
-        values.select(*keys, *by, leaf_of(value, cuts).alias("leaf"))
-        .where(F.col("leaf").isNotNull()).groupBy(*keys, *by, "leaf").agg(F.count("*").alias("n"))
+        values.select(*dict.fromkeys([*keys, *by]), leaf_of(value, cuts).alias("leaf"))
+        .where(F.col("leaf").isNotNull()).groupBy(*dict.fromkeys([*keys, *by]), "leaf").agg(F.count("*").alias("n"))
     )
     dens = leaves.select(*keys, "leaf", _log_density(leaves).alias("log_density"))
     return cells.join(dens, [*keys, "leaf"]).groupBy(*by).agg(

@@ -25,8 +25,7 @@ def keep_edges_within(edges: DataFrame, nodes: DataFrame, node: str, a="zone1",
     )
 
 
-def connected_components(edges: DataFrame, a: str = "zone1", b: str = "zone2",
-                         max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "zone1", b: str = "zone2") -> DataFrame:
     """(node, component): the least node id reachable from each node.
 
     Every round takes the least label among the neighbours (pre-aggregated per
@@ -42,7 +41,7 @@ def connected_components(edges: DataFrame, a: str = "zone1", b: str = "zone2",
     labels = save_round(
         both.groupBy("node").agg(F.least(F.min("other"), F.min("node")).alias("component")),
         "cc-labels")
-    for _ in range(max_rounds):
+    while True:
         seen = labels.select(F.col("node").alias("other"), F.col("component").alias("_near"))
         near = both.join(seen, "other").groupBy("node").agg(F.min("_near").alias("_near"))
         low = labels.join(near, "node").select(
@@ -59,8 +58,7 @@ def connected_components(edges: DataFrame, a: str = "zone1", b: str = "zone2",
         labels = step
         if labels.where("changed").limit(1).count() == 0:
             break
-    else:
-        raise RuntimeError(f"components still changing after {max_rounds} rounds")
+    drop_round(both)
     return labels.select("node", "component")
 
 

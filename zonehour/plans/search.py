@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 from ..operators import posterior as P
 from ..operators import validation as V
 from ..operators.counts import roll_up
+from ..operators.joins import null_safe
 from ..operators.quantiles import exact_quantiles
-from ..operators.ranking import ordinal, scale_by_group_max
-from ..operators.reshape import to_longer
 from ..operators.smoothing import PENALTIES, Fit, smooth_binomial
 from ..sources.shared import save_round
 
@@ -70,37 +69,34 @@ def bootstrap_samples(values: DataFrame, vertices: DataFrame, edges: DataFrame,
         (F.col("model_id") % samples).cast("int").alias("sim"), "vertex", "beta")
 
 
+#: Columns of a search run that the report shows, in display order.
 SEARCH_AXES = ("gen", "lam_s1", "lam_s2", "lam_t1", "lam_t2", "cv_logll")
+# Lower end and length of the display range of log10 penalties.
+LINEAR_RANGE, SQUARED_RANGE = (-2.03, 2.78), (-4.03, 4.78)
+DISPLAY = {"lam_s1": LINEAR_RANGE, "lam_t1": LINEAR_RANGE, "lam_s2": SQUARED_RANGE, "lam_t2": SQUARED_RANGE}
 
 
 def search_report(runs: DataFrame) -> DataFrame:
-    """Even generations of every split's search in long, normalised form.
+    """One row per run of an even generation and axis: value, place in the axis' range, and the run's score.
 
-    ``runs``: split_id, runid, gen, lam_s1, lam_s2, lam_t1, lam_t2, cv_logll.
+    ``runs``: split_id, runid, gen, lam_s1, lam_s2, lam_t1, lam_t2, cv_logll. What a split's runs share (ends of
+    the open axes, the score's 5% point) is computed once per split, joined to the runs, and only then are the
+    axes unpivoted.
     """
-    lams = SEARCH_AXES[1:5]
-    even = runs.where(F.col("gen") % 2 == 0).withColumns(
-        {c: F.log10(c) for c in lams})
-    floor = exact_quantiles(even, "cv_logll", [0.05], keys=["split_id"]).select(
-        "split_id", F.col("quantile").alias("cvq05"))
-    score = even.select("split_id", "runid", "cv_logll").join(floor, "split_id")
-    score = score.withColumn(
-        "cv_logll_norm", F.greatest(F.col("cv_logll") - F.col("cvq05"), F.lit(0.0)) + F.col("cvq05"))
-    score = scale_by_group_max(score, ["split_id"], "cv_logll", "cv_scaled").select(
-        "split_id", "runid", "cv_scaled", "cv_logll_norm")
-    long = to_longer(even, ["split_id", "runid"], SEARCH_AXES)
-    span = long.groupBy("split_id", "name").agg(
-        F.min("value").alias("min_val"), F.max("value").alias("max_val"))
-    v, lo, hi = F.col("value"), F.col("min_val"), F.col("max_val")
-    # Display ranges of the two penalty families.
-    norm = (
-        F.when(F.col("name").isin("gen", "cv_logll"), (v - lo) / F.nullif(hi - lo, F.lit(0.0)))
-        .when(F.col("name").isin("lam_s1", "lam_t1"), (v + 2.03) / 2.78)
-        .when(F.col("name").isin("lam_s2", "lam_t2"), (v + 4.03) / 4.78)
-    )
-    return (
-        long.join(score, ["split_id", "runid"], "left").join(span, ["split_id", "name"])
-        .withColumn("value_norm", norm).withColumn("axis", ordinal(F.col("name"), SEARCH_AXES))
-        .select("split_id", "runid", "name", "axis", "value", "value_norm", "cv_scaled",
-                "cv_logll_norm")
-    )
+    shown = runs.where("gen % 2 = 0").select(
+        "split_id", "runid", F.col("gen").cast("double").alias("gen"), "cv_logll",
+        *[F.log10(axis).alias(axis) for axis in DISPLAY])
+    ends = shown.groupBy("split_id").agg(
+        F.min("gen").alias("gen_from"), F.max("gen").alias("gen_to"),
+        F.min("cv_logll").alias("score_from"), F.max("cv_logll").alias("score_to"))
+    low = exact_quantiles(shown, "cv_logll", [0.05], keys=["split_id"]).select(
+        "split_id", F.col("quantile").alias("score_low"))
+    wide = null_safe(shown, null_safe(ends, low, ["split_id"]), ["split_id"])
+    places = {
+        "gen": "(gen - gen_from) / nullif(gen_to - gen_from, 0D)",
+        "cv_logll": "(cv_logll - score_from) / nullif(score_to - score_from, 0D)",
+        **{axis: f"({axis} - ({start}D)) / {length}D" for axis, (start, length) in DISPLAY.items()}}
+    cells = ", ".join(f"'{axis}', {i}, {axis}, {places[axis]}" for i, axis in enumerate(SEARCH_AXES, 1))
+    return wide.selectExpr(
+        "split_id", "runid", f"stack({len(SEARCH_AXES)}, {cells}) AS (name, axis, value, value_norm)",
+        "cv_logll / score_to AS cv_scaled", "greatest(cv_logll - score_low, 0D) + score_low AS cv_logll_norm")
