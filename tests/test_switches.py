@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from zonehour.functions.planar import segments_intersect
 from zonehour.operators import counts as C
 from zonehour.operators import density as D
 from zonehour.operators import ranking as R
@@ -126,6 +127,17 @@ def test_zero_mass_is_an_infinite_loss(spark):
     assert rows(D.geometric_mean_density(means)) == [(1, 0.0), (2, 1.0)]
 
 
+@pytest.mark.parametrize("unit", [1e-7, 1.0, 1e6])
+def test_segments_meet_in_any_unit(spark, unit):
+    def meet(*c):
+        p = [F.lit(float(v) * unit) for v in c]
+        return segments_intersect((p[0], p[1]), (p[2], p[3]), (p[4], p[5]), (p[6], p[7]))
+
+    got = spark.range(1).select(meet(0, 0, 2, 2, 0, 2, 2, 0), meet(0, 0, 1, 0, 0, 1, 1, 1), meet(0, 0, 2, 0, 1, 0, 3, 0),
+                                meet(0, 0, 1, 0, 2, 0, 3, 0), meet(0, 0, 1, 1, 1, 1, 2, 0)).first()
+    assert list(got) == [True, False, True, False, True]
+
+
 def test_natural_join_needs_a_shared_column(spark):
     with pytest.raises(ValueError):
         natural_full_join(spark.range(1).toDF("a"), spark.range(2).toDF("b"))
