@@ -137,11 +137,11 @@ def test_smoothing_beats_raw_frequencies_on_held_out_data(spark):
     cand = spark.createDataFrame(
         [(0, 1e-12, 1e-12, 1e-12, 1e-12), (1, 0.05, 1.0, 0.05, 1.0)],
         "candidate int, l1_space double, l2_space double, l1_time double, l2_time double")
-    scores = E.cross_validate(counts, edges, cand, folds=4, rounds=25)
+    scores = E.cross_validate(counts, edges, cand, folds=4, rounds=25, unfinished="keep")
     best = V.best_candidate(scores, "cv_loglik").first()
     assert best.candidate == 1
     assert scores.agg(F.max("heldout_attempts")).first()[0] == sum(r[3] for r in rows)
-    betas = E.fit_best(counts, edges, scores, rounds=10)
+    betas = E.fit_best(counts, edges, scores, rounds=10, unfinished="keep")
     assert betas.count() == 64
 
 
@@ -160,7 +160,7 @@ def test_events_to_densities_end_to_end(spark):
     pen = splits.selectExpr("split_id", "0.05D AS l1_space", "0.5D AS l2_space", "0.05D AS l1_time",
                             "0.5D AS l2_time")
     placed = G.map_node_to_vertex(values, st.vertices)
-    samples = E.bootstrap_samples(placed, st.vertices, st.edges, splits, pen, samples=3, rounds=4)
+    samples = E.bootstrap_samples(placed, st.vertices, st.edges, splits, pen, samples=3, rounds=4, unfinished="keep")
     assert samples.count() == 4 * 168 * 3 * 3
     leaves = D.leaf_probabilities(samples, splits, ("vertex", "sim"))
     off = leaves.groupBy("vertex", "sim").agg(F.sum("prob").alias("p")).where(F.abs(F.col("p") - 1) > 1e-9)

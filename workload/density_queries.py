@@ -15,8 +15,9 @@ from . import standins as X
 from .registry import query, r, rounded, rs
 from .tree_queries import tree
 
-BY_ZONE = f"""{X.TREE}, {X.counts_sql('cells', 'zone')},
- zs AS (SELECT cast(s_suppkey AS integer) AS zone FROM supplier), {X.dense_sql('zs', 'zone')},
+BY_ZONE_COUNTS = f"""{X.TREE}, {X.counts_sql('cells', 'zone')},
+ zs AS (SELECT cast(s_suppkey AS integer) AS zone FROM supplier), {X.dense_sql('zs', 'zone')}"""
+BY_ZONE = f"""{BY_ZONE_COUNTS},
  {X.betas_sql('dense')}, {X.leaves_sql('betas', 'zone')}"""
 BY_PLACE = f"""{X.TREE}, {X.counts_sql('cells', 'zone, hour')}, {X.PLACES}, {X.dense_sql('places', 'zone, hour')},
  {X.betas_sql('dense')}, {X.leaves_sql('betas', 'zone, hour')}"""

@@ -14,9 +14,11 @@ from zonehour.operators import smoothing as S
 from zonehour.operators import splits as T
 from zonehour.operators import validation as V
 from zonehour.plans import search as E
+from zonehour.plans.densities import surfaces
 from zonehour.sources.shared import save_round
 
 from . import standins as X
+from .density_queries import BY_ZONE_COUNTS
 from .graph_queries import RANKS, ranks
 from .registry import query, r, rounded, rs
 from .tree_queries import tree
@@ -200,7 +202,7 @@ def smooth_binomial(spark, sf):
     splits, counts = vertex_counts(spark, sf, verts, 2)
     rows = counts.select(F.col("split_id").cast("bigint").alias("model_id"), "vertex",
                          "successes", "attempts")
-    return rounded(S.smooth_binomial(rows, edges, constant_models(splits), rounds=3).betas)
+    return rounded(S.smooth_binomial(rows, edges, constant_models(splits), rounds=3, tol=0).betas)
 
 
 def _gauss_sql(rounds):
@@ -223,7 +225,7 @@ def smooth_gaussian(spark, sf):
     values = vertex_means(spark, sf, verts).withColumn("model_id", F.lit(0).cast("bigint"))
     one = spark.range(1).select(F.col("id").alias("model_id"),
                                 *[F.lit(v).alias(k) for k, v in PEN.items()])
-    return rounded(S.smooth_gaussian(values, edges, one, rounds=3).betas.select("vertex", "beta"))
+    return rounded(S.smooth_gaussian(values, edges, one, rounds=3, tol=0).betas.select("vertex", "beta"))
 
 
 def candidates(spark):
@@ -245,7 +247,7 @@ _CV = f"""{_placed(_TREE1)}, folded AS MATERIALIZED (SELECT *, CASE WHEN attempt
 def _cv(spark, sf):
     verts, edges = graph(spark, sf)
     _, counts = vertex_counts(spark, sf, verts, 1)
-    return counts, edges, E.cross_validate(counts, edges, candidates(spark), folds=2, rounds=2)
+    return counts, edges, E.cross_validate(counts, edges, candidates(spark), folds=2, rounds=2, tol=0, unfinished="keep")
 
 
 @query("cross_validate", f"""WITH {_CV} SELECT split_id, candidate, {r('s1', 'l1_space')}, {r('s2', 'l2_space')}, {r('t1', 'l1_time')},
@@ -259,7 +261,7 @@ def cross_validate(spark, sf):
    {X.fit_sql('bc', 'bed', 2, 'h')} SELECT 0 AS split_id, vertex, {rs('beta')} FROM hv2""")
 def fit_best(spark, sf):
     counts, edges, scores = _cv(spark, sf)
-    return rounded(E.fit_best(counts, edges, scores, rounds=2))
+    return rounded(E.fit_best(counts, edges, scores, rounds=2, tol=0, unfinished="keep"))
 
 
 def _poisson_sql(sim):
@@ -291,4 +293,40 @@ def bootstrap_samples(spark, sf):
     splits, _ = vertex_counts(spark, sf, verts, 1)
     pen = splits.select("split_id", *[F.lit(v).alias(k) for k, v in PEN.items()])
     return rounded(E.bootstrap_samples(
-        placed(spark, sf, verts), verts, edges, splits, pen, samples=2, rounds=2))
+        placed(spark, sf, verts), verts, edges, splits, pen, samples=2, rounds=2, tol=0, unfinished="keep"))
+
+
+# Whole fits: all 36 splits smoothed over the zones' own graph until they settle, and the surfaces from them.
+ZONE_ROUNDS = 100
+_ZONE_FIT = f"""{BY_ZONE_COUNTS}, wide AS (SELECT cast(ceil(sqrt(count(*))) AS integer) AS w FROM supplier),
+  zed AS MATERIALIZED (SELECT split_id::bigint AS model_id, a.zone AS src, b.zone AS dst, 0.3::double AS l1, 0.2::double AS l2
+    FROM zs a, zs b, wide, tree WHERE (b.zone = a.zone + w) OR (b.zone = a.zone + 1 AND b.zone % w <> 0)),
+  zcounts AS (SELECT split_id::bigint AS model_id, zone AS vertex, successes, attempts FROM dense), {X.fit_sql('zcounts', 'zed', ZONE_ROUNDS, 'z')},
+  smoothed AS (SELECT vertex AS zone, model_id AS split_id, beta FROM zv{ZONE_ROUNDS}), {X.leaves_sql('smoothed', 'zone')}"""
+
+
+def zone_surfaces(spark, sf):
+    """Rides of every zone to smoothed log-odds, and from these to all surfaces."""
+    splits = save_round(tree(spark, sf), "tree")
+    places = X.zone_grid(spark, sf).select(F.col("zone").alias("vertex"))
+    cells = X.cells(spark, sf).withColumnRenamed("zone", "vertex")
+    counts = C.split_counts(cells, splits, vertices=places).withColumn("model_id", F.col("split_id").cast("bigint"))
+    edges = X.adjacency(spark, sf).select(
+        F.col("zone1").alias("src"), F.col("zone2").alias("dst"), F.lit(False).alias("temporal"))
+    fit = S.smooth_binomial(counts, edges, constant_models(splits), rounds=ZONE_ROUNDS, tol=1e-3,
+                            check_every=ZONE_ROUNDS).result()
+    betas = fit.select(F.col("vertex").alias("zone"), F.col("model_id").cast("int").alias("split_id"), "beta")
+    return surfaces(betas, splits, ("zone",))
+
+
+@query("smoothed_tail_probability", f"""WITH {_ZONE_FIT} SELECT zone, level, {r('sum(CASE WHEN leaf_up >= level THEN prob ELSE 0 END)', 'tail_prob')}
+   FROM leaves, (SELECT unnest([18.56, 21.64, 32.73, 34.74])::double AS level) GROUP BY zone, level""")
+def smoothed_tail_probability(spark, sf):
+    return rounded(zone_surfaces(spark, sf).tails)
+
+
+@query("smoothed_density_quantile", f"""WITH {_ZONE_FIT}, zcdf AS (SELECT *, sum(prob) OVER (PARTITION BY zone ORDER BY leaf) AS cum FROM leaves)
+   SELECT zone, level, {r('arg_min(leaf_lo + (level - (cum - prob)) / prob * (leaf_up - leaf_lo), leaf)', 'value', 4)}
+   FROM zcdf, (SELECT unnest([0.1, 0.25, 0.5, 0.75])::double AS level) WHERE cum >= level - 1e-12 GROUP BY ALL""")
+def smoothed_density_quantile(spark, sf):
+    return rounded(zone_surfaces(spark, sf).quantiles, 4)

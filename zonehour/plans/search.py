@@ -8,15 +8,16 @@ from ..operators import validation as V
 from ..operators.counts import roll_up
 from ..operators.joins import null_safe
 from ..operators.quantiles import exact_quantiles
-from ..operators.smoothing import PENALTIES, Fit, smooth_binomial
+from ..operators.smoothing import PENALTIES, smooth_binomial
 from ..sources.shared import save_round
 
 
 def cross_validate(counts: DataFrame, edges: DataFrame, candidates: DataFrame, folds: int = 5,
-                   seed: int = 0, **fit) -> DataFrame:
+                   seed: int = 0, unfinished: str = "error", **fit) -> DataFrame:
     """(split_id, candidate, penalties, cv_loglik, heldout_attempts).
 
-    All splits, candidates and folds are fitted in one job.
+    All splits, candidates and folds are fitted in one job; a fit that hasn't converged is an error
+    unless ``unfinished`` is "keep".
     """
     models = save_round(
         V.cross_models(counts.select("split_id").distinct(), candidates, folds), "models")
@@ -24,7 +25,7 @@ def cross_validate(counts: DataFrame, edges: DataFrame, candidates: DataFrame, f
     training = V.mask_fold(folded, folds).join(
         models.select("split_id", "held_fold", "model_id"), ["split_id", "held_fold"]
     ).select("model_id", "vertex", "successes", "attempts")
-    betas = smooth_binomial(training, edges, models, **fit).betas
+    betas = smooth_binomial(training, edges, models, **fit).result(unfinished)
     test = folded.where(F.col("fold").isNotNull()).join(
         models.select("split_id", F.col("held_fold").alias("fold"), "candidate", "model_id"),
         ["split_id", "fold"])
@@ -32,19 +33,21 @@ def cross_validate(counts: DataFrame, edges: DataFrame, candidates: DataFrame, f
     return scores.join(candidates.select("candidate", *PENALTIES), "candidate")
 
 
-def fit_best(counts: DataFrame, edges: DataFrame, scores: DataFrame, **fit) -> DataFrame:
-    """(split_id, vertex, beta): each split refitted on all counts at its best penalties."""
+def fit_best(counts: DataFrame, edges: DataFrame, scores: DataFrame, unfinished: str = "error",
+             **fit) -> DataFrame:
+    """(split_id, vertex, beta): each split refitted on all counts at its best penalties, to convergence."""
     best = save_round(V.best_candidate(scores, "cv_loglik").select(
         "split_id", F.col("split_id").cast("bigint").alias("model_id"), *PENALTIES), "best")
     rows = counts.select(F.col("split_id").cast("bigint").alias("model_id"), "vertex",
                          "successes", "attempts")
-    done: Fit = smooth_binomial(rows, edges, best, **fit)
-    return done.betas.select(F.col("model_id").cast("int").alias("split_id"), "vertex", "beta")
+    done = smooth_binomial(rows, edges, best, **fit).result(unfinished)
+    return done.select(F.col("model_id").cast("int").alias("split_id"), "vertex", "beta")
 
 
 def bootstrap_samples(values: DataFrame, vertices: DataFrame, edges: DataFrame, splits: DataFrame,
                       penalties: DataFrame, samples: int, value: str = "productivity",
-                      ident: str = "ride_id", seed: int = 0, init: DataFrame | None = None, **fit):
+                      ident: str = "ride_id", seed: int = 0, init: DataFrame | None = None,
+                      unfinished: str = "error", **fit):
     """(split_id, sim, vertex, beta): smoothed log-odds of Poisson-reweighted data.
 
     A bootstrap, not a posterior chain. ``penalties``: split_id and the four
@@ -63,7 +66,7 @@ def bootstrap_samples(values: DataFrame, vertices: DataFrame, edges: DataFrame,
         init = init.withColumn(
             "sim", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn(
             "model_id", number).select("model_id", "vertex", "beta")
-    betas = smooth_binomial(counts, edges, models, init=init, **fit).betas
+    betas = smooth_binomial(counts, edges, models, init=init, **fit).result(unfinished)
     return betas.select(
         F.floor(F.col("model_id") / samples).cast("int").alias("split_id"),
         (F.col("model_id") % samples).cast("int").alias("sim"), "vertex", "beta")
