@@ -305,8 +305,18 @@ _ZONE_FIT = f"""{BY_ZONE_COUNTS}, wide AS (SELECT cast(ceil(sqrt(count(*))) AS i
   smoothed AS (SELECT vertex AS zone, model_id AS split_id, beta FROM zv{ZONE_ROUNDS}), {X.leaves_sql('smoothed', 'zone')}"""
 
 
+_ZONE_FITS = {}
+
+
 def zone_surfaces(spark, sf):
-    """Rides of every zone to smoothed log-odds, and from these to all surfaces."""
+    """Rides of every zone to smoothed log-odds, and from these to all surfaces; fitted once a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _ZONE_FITS:
+        _ZONE_FITS[key] = _zone_fit(spark, sf)
+    return surfaces(*_ZONE_FITS[key], ("zone",))
+
+
+def _zone_fit(spark, sf):
     splits = save_round(tree(spark, sf), "tree")
     places = X.zone_grid(spark, sf).select(F.col("zone").alias("vertex"))
     cells = X.cells(spark, sf).withColumnRenamed("zone", "vertex")
@@ -315,8 +325,7 @@ def zone_surfaces(spark, sf):
         F.col("zone1").alias("src"), F.col("zone2").alias("dst"), F.lit(False).alias("temporal"))
     fit = S.smooth_binomial(counts, edges, constant_models(splits), rounds=ZONE_ROUNDS, tol=1e-3,
                             check_every=ZONE_ROUNDS).result()
-    betas = fit.select(F.col("vertex").alias("zone"), F.col("model_id").cast("int").alias("split_id"), "beta")
-    return surfaces(betas, splits, ("zone",))
+    return fit.select(F.col("vertex").alias("zone"), F.col("model_id").cast("int").alias("split_id"), "beta"), splits
 
 
 @query("smoothed_tail_probability", f"""WITH {_ZONE_FIT} SELECT zone, level, {r('sum(CASE WHEN leaf_up >= level THEN prob ELSE 0 END)', 'tail_prob')}
