@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from zonehour.llm import bpe, line_dedup, mixing, near_dedup, quality
 from zonehour.llm.common import table
 from zonehour.llm.queries import LINE_DOCS, MIX_SEED, RANKS
-from zonehour.sources.shared import save_round
+from zonehour.sources.shared import drop_round, save_round
 
 #: BPE and learned rules are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
@@ -51,5 +51,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the ``documents`` of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = save_round(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        given, docs = docs, save_round(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_round(given)
     return docs
