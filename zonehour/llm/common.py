@@ -14,8 +14,8 @@ from pyspark.sql.types import StructType
 #: Fixed value: the white space that separates words, 0x20 and 0x09 to 0x0D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
-#: Rows that one ordering cell of ``rank_within`` holds on average.
-CELL_ROWS = 50_000
+#: Rows, which may carry whole texts, that one ordering cell of ``rank_within`` holds at most on average.
+CELL_ROWS = 8_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
