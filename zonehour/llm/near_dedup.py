@@ -12,7 +12,7 @@ Classes are the connected components of all links; no group is ever paired with
 2. in each bucket every text is compared with the bucket's least and greatest text; links make components;
 3. only buckets that still hold several components are searched in full, in blocks of bounded size: texts of
    different components whose registers look similar are verified where they meet, and a link is passed on
-   only if it joins components, so a block of n texts gives less than n rows.
+   only if it joins components: a block of n texts gives less than n rows, however many pairs are alike.
 """
 
 from collections.abc import Iterator
