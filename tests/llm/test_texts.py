@@ -175,6 +175,24 @@ def test_chains_and_large_groups_lose_no_link(spark, monkeypatch, block):
     assert rows_of(near_dedup.class_ids(df)) == brute_classes(rows)
 
 
+@pytest.mark.parametrize("block", [2048, 7])
+def test_copies_with_repeated_passages_are_found(spark, monkeypatch, block):
+    """Texts, and the same with a line repeated up to 1000 times; passages that all share keep buckets crowded."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rnd = random.Random(block)
+    fresh = lambda n: [f"t{rnd.randrange(10**9)}" for _ in range(n)]
+    rows, passage = [], fresh(120)
+    for times in [50, 200, 1000] * 8:
+        text = (passage if len(rows) % 4 else []) + fresh(204)
+        text = text[-204:] if rnd.random() < 0.5 else text[:204]
+        line = fresh(36)  # with the text's end before and its own start after each time
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(text + line * times))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute_classes(rows)
+    assert sum(n == 2 for _, _, n in want.elements()) == len(rows)
+    assert rows_of(near_dedup.class_ids(df)) == want
+
+
 def test_sketches_estimate_probability_jaccard():
     rnd = np.random.default_rng(5)
     names = rnd.integers(0, 1 << 63, 300, np.uint64)

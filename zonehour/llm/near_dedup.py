@@ -1,9 +1,10 @@
-"""Near-duplicate texts: ProbMinHash sketches of weighted five-word shingles, banding, exact verification.
+"""Near-duplicate texts: ProbMinHash sketches of five-word shingles, banding, exact verification.
 
 Every shingle of weight w is a Poisson process of rate w: its arrivals, a hash apart, each hit one register.
 A register keeps the shingle that hits it first. Two texts agree in a register with their probability
 Jaccard similarity. Arrivals come in ascending order, so a shingle stops as soon as its next arrival is
-later than the latest first hit of all registers.
+later than the latest first hit of all registers. Distinct shingles all weigh 1 here: their probability
+Jaccard is the Jaccard similarity that decides, however often a passage is repeated in one of two texts.
 
 Bands of registers propose pairs, and the exact Jaccard similarity of the distinct shingles decides.
 Classes are the connected components of all links; no group is ever paired with itself as a whole:
@@ -70,10 +71,10 @@ def shingle_hashes(words: list[bytes]) -> np.ndarray:
     return mixed(sum(w[i:i + n] * PLACES[i] for i in range(WORDS)))
 
 
-def weighted(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles, ascending, and their weights 1 + ln(occurrences)."""
-    found, counts = np.unique(shingle_hashes(words), return_counts=True)
-    return found, 1 + np.log(counts)
+def distinct(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles, ascending, and their weights, all 1."""
+    found = np.unique(shingle_hashes(words))
+    return found, np.ones(len(found))
 
 
 def sketches(texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -115,7 +116,7 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
                 for at in range(0, big.num_rows, TOGETHER):
                     part = big.slice(at, TOGETHER)
                     words = [(t or "").encode().split() for t in part["text"].to_pylist()]
-                    texts = [weighted(w) for w in words]
+                    texts = [distinct(w) for w in words]
                     registers = sketches(texts)
                     bands = band_hashes(registers)
                     short = (registers >> np.uint64(32)).astype("<u4")
