@@ -5,13 +5,14 @@ import random
 import re
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import check
-from zonehour.llm import fingerprints, html_text, licenses, line_dedup, near_dedup, quality
+from zonehour.llm import fingerprints, html_text, license_table, licenses, line_dedup, near_dedup, quality
 from zonehour.llm.queries import ORACLES, QUERIES
 from zonehour.sources.shared import save_round
 
@@ -450,6 +451,30 @@ def test_licenses_in_any_dress(spark):
     assert licenses.scan(df.where("false")).count() == 0
 
 
+def test_long_licenses_and_spdx_lines(spark):
+    folder = Path("/usr/share/common-licenses")
+    if not folder.exists():
+        pytest.skip("no licence texts on this machine")
+    own = {"GPL-3": "GPL-3.0", "GPL-2": "GPL-2.0", "LGPL-2.1": "LGPL-2.1", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0",
+           "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "Artistic": "Artistic-1.0-Perl"}
+    texts = [((folder / name).read_text(), i) for name, i in own.items()]
+    gpl2, apache = (folder / "GPL-2").read_text(), (folder / "Apache-2.0").read_text()
+    moved = re.sub(r"51 Franklin Street, Fifth Floor, Boston,\s+MA\s+02110-1301\s+USA",
+                   "59 Temple Place, Suite 330,\nBoston, MA  02111-1307  USA", gpl2)
+    assert moved != gpl2
+    texts += [(moved, "GPL-2.0"), (apache[:apache.index("APPENDIX")], "Apache-2.0"), (gpl2 + "\nand more", None)]
+    rows = [(i, text) for i, (text, _) in enumerate(texts)]
+    lines = {"MPL-2.0": "MPL-2.0", "LGPL-2.1-or-later": "LGPL-2.1-or-later", "ISC": "ISC", "GPL-2.0+": "GPL-2.0-or-later",
+             "AGPL-3.0-only": "AGPL-3.0", "EUPL-1.2": "EUPL-1.2"}
+    rows += [(100 + i, f"x\n// SPDX-License-Identifier: {line}") for i, line in enumerate(lines)]
+    rows.append((200, "x\nThis program is licensed under the GNU General Public License v3.0 or later."))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.license for r in got if r.doc_id < 100} == {i: n for i, (_, n) in enumerate(texts)}
+    assert {r.doc_id: r.notices for r in got if 100 <= r.doc_id < 200} == {100 + i: n for i, n in enumerate(lines.values())}
+    assert [r.notices for r in got if r.doc_id == 200] == ["GPL-3.0-or-later"]
+    assert license_table.digests_of(str(folder)) == license_table.DIGESTS
+
+
 def test_op10_finds_every_notice_line(spark, texts):
     phrases = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT",
                "Licensed under the Apache License, Version 2.0.": "Apache-2.0",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from zonehour.sources.shared import save_round
 
+from . import license_table
 from .common import arrow_map, arrow_schema, keyed_text, slices
 
 # Spellings that licence texts use alike, the second for the first.
@@ -37,6 +38,8 @@ WORD = re.compile(r"[^\W_]+")
 #: Lines that name an owner and a year, or reserve all rights.
 COPYRIGHT = re.compile(r"[^\w(©]*(?:(?:copyright|\(c\)|©)\s*(?:copyright|\(c\)|©|[\[<{]?(?:\d|year|yyyy)|by\b|the\b.*\bauthors)"
                        r"|all\s+rights\s+reserved\W*\Z)")
+#: The plus sign of an SPDX id.
+LATER = re.compile(r"(?<=\d)\+")
 PHRASE = re.compile(r"\b(?:" + "|".join(PHRASES) + r")\b")
 
 MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
@@ -136,12 +139,14 @@ def known_licenses() -> list[tuple[str, str]]:
                ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"), ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
                ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"), ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only")]
     bodies = {(i, body) for i, _, body in titled} | {(i, f"{title}\n\n{body}") for i, title, body in titled if title}
-    return sorted(bodies) + notices
+    return sorted(bodies) + notices + license_table.notice_lines()
 
 
 def canonical_line(line: str) -> str:
     """One line's words in canonical spelling; a copyright line has none."""
     low = line.lower()
+    if "spdx" in low:
+        low = LATER.sub("-or-later", low)
     if ("copyright" in low or "(c)" in low or "©" in low or "reserved" in low) and COPYRIGHT.match(low):
         return ""
     return " ".join([WORDS.get(w, w) for w in WORD.findall(low)])
@@ -157,12 +162,21 @@ def digest(canonical_text: str) -> bytes:
     return hashlib.sha256(canonical_text.encode()).digest()
 
 
+def text_digest(text: str) -> bytes | None:
+    """The digest of a whole text, or None where nothing is left of it."""
+    form = canonical([canonical_line(x) for x in text.split("\n")])
+    return digest(form) if form else None
+
+
 def license_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(digest, license) of the known licences, one row each; a digest of several is that of the least id."""
-    best: dict[bytes, str] = {}
+    """(digest, license) of the known licences, one row each; a digest of several is that of the least id.
+
+    Without ``known``, long licences are there too, by the digests of their whole texts.
+    """
+    best = {bytes.fromhex(d): n for d, n in license_table.DIGESTS.items()} if known is None else {}
     for name, text in known_licenses() if known is None else known:
-        if form := canonical([canonical_line(x) for x in text.split("\n")]):
-            best[digest(form)] = min(name, best.get(digest(form), name))
+        if of := text_digest(text):
+            best[of] = min(name, best.get(of, name))
     return spark.createDataFrame([(bytearray(d), n) for d, n in sorted(best.items())], "digest binary, license string")
 
 
@@ -196,7 +210,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     text get equal results; NULL doc_id is a value. ``known`` is any table (digest, license) with one row
     a digest; Spark broadcasts it if it is small and shuffles it, splitting crowded digests, otherwise.
     """
-    known = license_digests(docs.sparkSession) if known is None else known
+    known = F.broadcast(license_digests(docs.sparkSession)) if known is None else known  # some 41,000 rows
     digests = save_round(text_digests(docs), "license-digests")
     lines = digests.select("doc_id", "body", F.explode("lines").alias("digest")).join(known, "digest")
     # Equal rows are counted together.
