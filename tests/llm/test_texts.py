@@ -319,6 +319,26 @@ def test_layout(page, text):
     assert html_text.render(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("a <svg><title>no</title><desc>no</desc><defs><text>no</text></defs>no<path d='M0'/><text>Oil <tspan>price</tspan></text>"
+     "<g><text x=1>2020</text></g></svg> b", "a\nOil price\n2020\nb"),
+    ("<svg><title/><desc/><metadata>no</metadata><text>yes</text></svg>end", "yes\nend"),
+    ("<svg><text display=none>no</text><text visibility=hidden>no</text><g style='display:none'><text>no</text></g></svg>end", "end"),
+    ("<svg><foreignObject><p>in<title>no</title></foreignObject><text>out</text></svg>", "in\n\nout"),
+    ("<svg><path d=x><div>after</div>", "after"), ("<svg><text><![CDATA[a<b]]></text></svg>c", "a<b\nc"),
+    ("<svg/>a<desc>b</desc><text>c</text>", "abc"), ("<svg><style>.no{display:none}</style></svg><p class=no>x<p>y", "y"),
+    ("so <math><semantics><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow>"
+     "<annotation encoding=tex>x=\\frac12</annotation></semantics></math>.", "so x=1 2."),
+    ("<math><mtable><mtr><mtd>1</mtd><mtd>0</mtd></mtr><mtr><mtd>0</mtd><mtd>1</mtd></mtr></mtable></math>", "1 0 0 1"),
+    ("a<math display=block><mphantom><mi>no</mi></mphantom><mi>E</mi></math>b", "a\nE\nb"),
+    ("<input value=Ann> <input type=EMAIL value=a@b> <input type=hidden value=no> <input type=checkbox value=no>"
+     "<input type=password value=no> <input type=search placeholder='Find it'> <input type=date value=2020-01-02>",
+     "Ann a@b Find it 2020-01-02"),
+])
+def test_drawings_formulas_and_inputs(page, text):
+    assert html_text.render(page) == text
+
+
 def test_deep_and_long_pages():
     assert html_text.render("<div>" * 100_000 + "x" + "<table><tr><td>" * 2000 + "y").split() == ["x", "y"]
     assert len(html_text.render("<p>word " * 100_000).split()) == 100_000

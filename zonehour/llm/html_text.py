@@ -16,7 +16,19 @@ from .common import text_rows
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript plaintext".split())
 UNSEEN = frozenset("head script style template noscript iframe noembed noframes title object audio video canvas "
-                   "svg math datalist meta link base".split())
+                   "datalist meta link base".split())
+#: Parts of drawings and formulas that aren't rendered where they stand.
+UNDRAWN = frozenset("desc defs metadata symbol clippath mask pattern marker filter".split())
+UNSET = frozenset("annotation annotation-xml mphantom".split())
+#: Elements of drawings and formulas in which HTML begins anew, and formulas whose parts stand apart.
+HTML_AGAIN = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+APART = frozenset("mfrac mroot msub msup msubsup munder mover munderover mmultiscripts mtable mtr".split())
+#: Start tags that end an open drawing or formula.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing "
+                     "menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Inputs that show no text of their own, and those that show their placeholder while empty.
+WORDLESS = frozenset("hidden checkbox radio file password color range image".split())
+LABELLED = frozenset("button submit reset date time month week datetime-local".split())
 #: Blocks with a blank line before and after, and blocks that only start and end a line.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset menu dir listing xmp".split())
 PLAIN = frozenset("html body div section article aside header footer nav main address center form hgroup search "
@@ -26,7 +38,7 @@ BLOCKS = frozenset("address article aside blockquote center details dialog dir d
                    "form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul "
                    "dt dd listing xmp".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-BARRIER = frozenset("table td th caption html template button object marquee applet".split())
+BARRIER = frozenset("table td th caption html template button object marquee applet foreignobject".split())
 CLOSES = {
     "li": ({"li"}, BARRIER | {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, BARRIER | {"dl"}),
     "dd": ({"dt", "dd"}, BARRIER | {"dl"}), "option": ({"option"}, BARRIER | {"select"}),
@@ -73,6 +85,7 @@ class TreeBuilder:
     def __init__(self):
         self.root = Element("html")
         self.open, self.body, self.styles = [self.root], None, []
+        self.drawn = False  # a drawing or formula was open before
 
     def _in_body(self) -> None:
         """The head ends, and the body starts, with the first thing that belongs there."""
@@ -93,6 +106,16 @@ class TreeBuilder:
                 return False
         return False
 
+    def foreign(self) -> bool:
+        """Whether tags belong to an open drawing or formula."""
+        if self.drawn:
+            for at in range(len(self.open) - 1, 0, -1):
+                if self.open[at].name in ("svg", "math"):
+                    return True
+                if self.open[at].name in HTML_AGAIN:
+                    return False
+        return False
+
     def _push(self, element: Element, stays: bool) -> None:
         self.open[-1].children.append(element)
         if stays and len(self.open) < DEPTH:
@@ -106,6 +129,14 @@ class TreeBuilder:
         self.open[-1].children.append(data)
 
     def start(self, name: str, attributes: str, raw: str | None) -> None:
+        if self.foreign():
+            if name not in BREAKOUT:
+                if raw is not None and name == "style":
+                    self.styles.append(raw)
+                self._push(Element(name, attributes), raw is None and not attributes.endswith("/"))
+                return
+            while self.foreign():
+                self.open.pop()
         if name in ("html", "body"):
             if name == "body":
                 self._in_body()
@@ -141,7 +172,9 @@ class TreeBuilder:
             element.children.append(raw)
             self._push(element, False)
         else:
-            self._push(element, name not in VOID)
+            drawing = name in ("svg", "math")
+            self.drawn = self.drawn or drawing
+            self._push(element, name not in VOID and not (drawing and attributes.endswith("/")))
 
     def end(self, name: str) -> None:
         if name == "br":
@@ -170,7 +203,8 @@ def tree(source: str) -> TreeBuilder:
         at = tag.end()
         if name := tag["start"]:
             name, raw = name.lower(), None
-            if name in RAW:
+            if name in RAW and not (builder.foreign() and (
+                    name not in ("script", "style") or (tag["attributes"] or "").endswith("/"))):
                 close = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, at)
                 raw = source[at:close.start() if close else len(source)]
                 at = close.end() if close else len(source)
@@ -179,6 +213,10 @@ def tree(source: str) -> TreeBuilder:
             builder.start(name, tag["attributes"] or tag["broken"] or "", raw)
         elif name := tag["end"]:
             builder.end(name.lower())
+        elif source.startswith("<![CDATA[", tag.start()) and builder.foreign():
+            close = source.find("]]>", tag.start())
+            builder.text(source[tag.start() + 9:close if close >= 0 else len(source)])
+            at = close + 3 if close >= 0 else len(source)
 
 
 def hidden_by_sheets(styles: list[str]) -> frozenset[str]:
@@ -202,6 +240,23 @@ def seen(element: Element, values: dict[str, str], hidden: frozenset[str]) -> bo
     return True
 
 
+def drawn(name: str, values: dict[str, str], place: str) -> bool:
+    """Whether a drawing (``place`` svg or text) or a formula (math) shows this part."""
+    if place == "math":
+        return name not in UNSET
+    return name not in UNDRAWN and values.get("display") != "none" and values.get("visibility") not in ("hidden", "collapse")
+
+
+def input_text(values: dict[str, str]) -> str:
+    """What an input shows: its value, or its placeholder while it is empty."""
+    kind = values.get("type", "").lower()
+    if kind == "password":
+        return "" if values.get("value") else values.get("placeholder", "")
+    if kind in WORDLESS:
+        return ""
+    return values.get("value", "") or ("" if kind in LABELLED else values.get("placeholder", ""))
+
+
 class Flow:
     """Lines of text with collapsed white space, blank lines between spaced blocks, and indents."""
 
@@ -330,13 +385,14 @@ def render(source: str) -> str:
     builder = tree(source)
     hidden = hidden_by_sheets(builder.styles)
     flows, tables, lists = [Flow()], [], []
-    kept = 0
+    kept, places = 0, []  # places: the open drawings and formulas, and the texts and HTML in them
     todo: list = [(builder.root, None)]
     while todo:
         node, leaving = todo.pop()
         flow = flows[-1]
         if isinstance(node, str):
-            flow.text(node, kept > 0)
+            if not places or places[-1] != "svg":
+                flow.text(node, kept > 0)
             continue
         name = node.name
         if leaving is not None:
@@ -362,10 +418,16 @@ def render(source: str) -> str:
                 flow.block(2)
             elif name in PLAIN:
                 flow.block(1)
+            elif name in ("text", "foreignobject") and places:
+                flow.block(1)
+            elif name == "math" and node.values().get("display") == "block":
+                flow.block(1)
+            if name in ("svg", "math") or (places and name in ("text", "foreignobject")):
+                places.pop()
             kept -= name in ("pre", "listing", "xmp", "textarea")
             continue
         values = node.values()
-        if not seen(node, values, hidden):
+        if not seen(node, values, hidden) or (places and places[-1] != "html" and not drawn(name, values, places[-1])):
             continue
         if name == "br":
             flow.end_line(True)
@@ -374,8 +436,7 @@ def render(source: str) -> str:
             flow.block(2)
             continue
         if name == "input":
-            if values.get("type", "").lower() in ("submit", "button", "reset"):
-                flow.text(values.get("value", ""))
+            flow.text(input_text(values))
             continue
         apart = name in ("td", "th", "caption") and bool(tables)
         if apart:
@@ -402,8 +463,16 @@ def render(source: str) -> str:
             flow.block(2)
         elif name in PLAIN:
             flow.block(1)
+        elif name in ("text", "foreignobject") and places:
+            flow.block(1)
+        elif name == "math" and values.get("display") == "block":
+            flow.block(1)
+        if name in ("svg", "math") or (places and name in ("text", "foreignobject")):
+            places.append("html" if name == "foreignobject" else name)
         kept += name in ("pre", "listing", "xmp", "textarea")
         children = node.children
+        if name in APART and places and places[-1] == "math":
+            children = [x for c in children for x in (c, " ")][:-1]
         if name == "details" and "open" not in values:  # a closed one shows its summary
             children = [c for c in children if isinstance(c, Element) and c.name == "summary"][:1]
         todo.append((node, apart))
