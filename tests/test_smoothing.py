@@ -175,3 +175,12 @@ def test_rounds_go_to_the_named_folder(spark, tmp_path):
     shared.drop_round(kept)
     with pytest.raises(Exception):
         spark.read.parquet(kept._zonehour_path).count()
+
+
+def test_zone_surfaces_are_fitted_in_each_query(spark, monkeypatch):
+    from workload import fit_queries
+
+    fits = []
+    monkeypatch.setattr(fit_queries, "_zone_fit", lambda spark, sf: (len(fits), fits.append(sf)))
+    monkeypatch.setattr(fit_queries, "surfaces", lambda fit, splits, keys: fit)
+    assert [fit_queries.zone_surfaces(spark, "some/path") for _ in range(2)] == [0, 1]

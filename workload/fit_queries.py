@@ -305,15 +305,9 @@ _ZONE_FIT = f"""{BY_ZONE_COUNTS}, wide AS (SELECT cast(ceil(sqrt(count(*))) AS i
   smoothed AS (SELECT vertex AS zone, model_id AS split_id, beta FROM zv{ZONE_ROUNDS}), {X.leaves_sql('smoothed', 'zone')}"""
 
 
-_ZONE_FITS = {}
-
-
 def zone_surfaces(spark, sf):
-    """Rides of every zone to smoothed log-odds, and from these to all surfaces; fitted once a session."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _ZONE_FITS:
-        _ZONE_FITS[key] = _zone_fit(spark, sf)
-    return surfaces(*_ZONE_FITS[key], ("zone",))
+    """Rides of every zone to smoothed log-odds, and from these to all surfaces."""
+    return surfaces(*_zone_fit(spark, sf), ("zone",))
 
 
 def _zone_fit(spark, sf):
