@@ -55,13 +55,14 @@ def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(work, schema)
 
 
-def text_rows(df: DataFrame, schema: str, work: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:
-    """One output row for every input row: ``work`` gets a batch's columns as lists and returns columns."""
+def text_rows(df: DataFrame, schema: str, work: Callable[[dict[str, list]], dict[str, list]],
+              limit: int = 16 << 20) -> DataFrame:
+    """One output row for every input row: ``work`` gets columns of about ``limit`` bytes as lists and returns columns."""
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit):
                 yield pa.RecordBatch.from_pydict(work(part.to_pydict()), schema=arrow)
 
     return arrow_map(df, run, schema)

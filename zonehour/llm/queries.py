@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from zonehour.sources.shared import fresh_path
 
-from . import bpe, fingerprints, html_text, licenses, line_dedup, mixing, near_dedup, quality, sharding, token_files
+from . import (bpe, collocations, fingerprints, html_text, licenses, line_dedup, mixing, near_dedup, periodic_runs,
+               quality, sharding, token_files, web_archives)
 from .common import table
 
 QUERIES = {}
@@ -93,3 +94,52 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_license_scan")
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+PHRASE_COUNT, COVERED_PERCENT, PHRASES = 30, 80, 2000
+
+
+@query("op11_collocations", f"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?' || chr(11) || chr(12) || chr(13) || chr(9),
+            'abcdefghijklmnopqrstuvwxyz' || repeat(chr(10), 9) || ' '), chr(10))) AS piece FROM documents),
+    words AS (SELECT lang, list_filter(string_split(piece, ' '), lambda x: x != '') AS w FROM pieces),
+    places AS (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i
+               FROM words, (VALUES (1), (2), (3), (4)) AS ks(k) WHERE len(w) >= k),
+    f AS MATERIALIZED (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS gram, count(*) AS n
+                       FROM places GROUP BY ALL),
+    candidates AS MATERIALIZED (SELECT lang, k, gram, n AS a, string_split(gram, ' ') AS w
+                                FROM f WHERE k > 1 AND n >= {PHRASE_COUNT}),
+    cuts AS (SELECT c.*, cut, array_to_string(w[:cut], ' ') AS first, array_to_string(w[cut + 1:], ' ') AS rest
+             FROM candidates c, (VALUES (1), (2), (3)) AS cs(cut) WHERE cut < k),
+    scored AS (SELECT cuts.*, x.n AS l, y.n AS r, (2000000::HUGEINT * a) // (x.n + y.n) AS score
+               FROM cuts JOIN f x ON x.lang = cuts.lang AND x.gram = first JOIN f y ON y.lang = cuts.lang AND y.gram = rest),
+    lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, cut) = 1),
+    longer AS (SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS gram, max(a) AS longest FROM (
+                   SELECT lang, a, w, size, unnest(generate_series(1, k - size + 1)) AS i
+                   FROM candidates, (VALUES (2), (3)) AS ss(size) WHERE size < k) GROUP BY ALL),
+    kept AS (SELECT lowest.* FROM lowest LEFT JOIN longer USING (lang, gram)
+             WHERE longest IS NULL OR 100::HUGEINT * longest < {COVERED_PERCENT}::HUGEINT * a),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, gram) AS place FROM kept)
+    SELECT lang, place AS rank, gram AS phrase, a, l, r, words AS n, CAST(score AS BIGINT) AS score
+    FROM ranked JOIN (SELECT lang, CAST(sum(n) AS BIGINT) AS words FROM f WHERE k = 1 GROUP BY lang) USING (lang)
+    WHERE place <= {PHRASES}""")
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), PHRASE_COUNT, COVERED_PERCENT, PHRASES)
+
+
+@query("op12_web_archives", """
+    WITH sized AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS size FROM pages),
+    kept AS (SELECT *, CASE WHEN size >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS keeper FROM sized)
+    SELECT page_id, size AS payload_bytes, sha1(html) AS payload_digest,
+           CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+           nullif(keeper, page_id) AS refers_to
+    FROM kept""")
+def web_archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web_archives.archived_pages(table(spark, sf_dir, "pages"), fresh_path(spark, "archives"))
+
+
+@query("op13_periodic_runs")
+def periodic_run_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
