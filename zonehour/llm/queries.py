@@ -104,17 +104,23 @@ PHRASE_COUNT, COVERED_PERCENT, PHRASES = 30, 80, 2000
         SELECT coalesce(lang, 'und') AS lang, unnest(string_split(translate(coalesce(text, ''),
             'ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?' || chr(11) || chr(12) || chr(13) || chr(9),
             'abcdefghijklmnopqrstuvwxyz' || repeat(chr(10), 9) || ' '), chr(10))) AS piece FROM documents),
-    words AS (SELECT lang, list_filter(string_split(piece, ' '), lambda x: x != '') AS w FROM pieces),
-    places AS (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i
-               FROM words, (VALUES (1), (2), (3), (4)) AS ks(k) WHERE len(w) >= k),
-    f AS MATERIALIZED (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS gram, count(*) AS n
-                       FROM places GROUP BY ALL),
+    numbered AS (SELECT lang, list_filter(string_split(piece, ' '), lambda x: x != '') AS w,
+                        row_number() OVER () AS id FROM pieces),
+    words AS (SELECT lang, id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM numbered),
+    next AS (SELECT lang, word AS w1, lead(word, 1) OVER p AS w2, lead(word, 2) OVER p AS w3, lead(word, 3) OVER p AS w4
+             FROM words WINDOW p AS (PARTITION BY id ORDER BY pos)),
+    f AS MATERIALIZED (
+        SELECT lang, 1 AS k, w1 AS gram, count(*) AS n FROM next GROUP BY ALL
+        UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM next WHERE w2 IS NOT NULL GROUP BY ALL
+        UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM next WHERE w3 IS NOT NULL GROUP BY ALL
+        UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*) FROM next WHERE w4 IS NOT NULL GROUP BY ALL),
     candidates AS MATERIALIZED (SELECT lang, k, gram, n AS a, string_split(gram, ' ') AS w
                                 FROM f WHERE k > 1 AND n >= {PHRASE_COUNT}),
     cuts AS (SELECT c.*, cut, array_to_string(w[:cut], ' ') AS first, array_to_string(w[cut + 1:], ' ') AS rest
              FROM candidates c, (VALUES (1), (2), (3)) AS cs(cut) WHERE cut < k),
-    scored AS (SELECT cuts.*, x.n AS l, y.n AS r, (2000000::HUGEINT * a) // (x.n + y.n) AS score
-               FROM cuts JOIN f x ON x.lang = cuts.lang AND x.gram = first JOIN f y ON y.lang = cuts.lang AND y.gram = rest),
+    begun AS MATERIALIZED (SELECT cuts.*, x.n AS l FROM cuts JOIN f x ON x.lang = cuts.lang AND x.gram = first),
+    scored AS (SELECT begun.*, y.n AS r, (2000000::HUGEINT * a) // (l + y.n) AS score
+               FROM begun JOIN f y ON y.lang = begun.lang AND y.gram = rest),
     lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, cut) = 1),
     longer AS (SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS gram, max(a) AS longest FROM (
                    SELECT lang, a, w, size, unnest(generate_series(1, k - size + 1)) AS i
