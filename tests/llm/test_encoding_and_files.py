@@ -147,26 +147,53 @@ def test_token_file_is_seekable_zstandard_and_finds_damage(tmp_path):
         [bad.ids(i) for i in range(2)]
 
 
-def brute_schedule(shares, frame):
-    done, out = Counter(), []
-    for slot in range(frame):
-        ready = [s for s in shares if done[s] < shares[s] and done[s] * frame // shares[s] <= slot]
-        s = min(ready, key=lambda s: (-(-(done[s] + 1) * frame // shares[s]), str(s)))
+def brute_schedule(weights, slots):
+    total, done, out = sum(weights.values()), Counter(), []
+    for slot in range(slots):
+        ready = [s for s in weights if done[s] * total // weights[s] <= slot]
+        s = min(ready, key=lambda s: (-(-(done[s] + 1) * total // weights[s]), str(s)))
         out.append((s, done[s]))
         done[s] += 1
     return out
 
 
-@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 1, "b": 1}, {"a": 0.9, "b": 0.1}, {"a": 5, "b": 3, "c": 2, None: 0.001},
+def in_order(placed):
+    return [(s, i) for _, s, i in sorted((slot, s, i) for s, taken in placed.items() for i, slot in enumerate(taken))]
+
+
+@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 1, "b": 1}, {"a": 0.9, "b": 0.1}, {"a": 5, "b": 3, "c": 2, "": 0.001},
                                      {"big": 50, **{f"s{i}": 5 for i in range(10)}}, {f"s{i}": i + 1 for i in range(25)}])
 def test_schedule_is_less_than_a_block_off(weights):
-    shares = mixing.frame_shares(weights, 200)
-    order = mixing.frame_order(shares, 200)
-    assert sum(shares.values()) == 200 and order == brute_schedule(shares, 200)
-    done = Counter()
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    order = in_order(mixing.schedule(weights, {s: 7 for s in weights}))
+    assert order == brute_schedule(exact, len(order))
+    done, total = Counter(), sum(exact.values())
     for slot, (s, _) in enumerate(order, 1):
         done[s] += 1
-        assert all(abs(Fraction(shares[x] * slot, 200) - done[x]) < 1 for x in shares)
+        assert all(abs(exact[x] * slot / total - done[x]) < 1 for x in exact)
+    assert min(done.values()) == 7 and Counter(s for s, _ in order[:-1])[order[-1][0]] == 6
+
+
+@pytest.mark.parametrize("counts", [{"huge": 10**7, "one": 1}, {f"s{i}": 1 + i * i % 997 for i in range(5000)}])
+def test_rare_and_many_sources_keep_their_exact_weights(counts):
+    weights = mixing.default_weights(counts)
+    rows = mixing.rows_of_block(counts, weights)
+    placed = mixing.schedule(weights, {s: -(-n // rows) for s, n in counts.items()})
+    total, slots = sum(weights.values()), sum(map(len, placed.values()))
+    assert slots <= 2 * mixing.SLOTS
+    for s, taken in placed.items():  # each block within its window keeps the source less than a block off at every slot
+        part, last = weights[s] / total, len(taken) - 1
+        for i in sorted({0, 1, 2, last // 2, last - 1, last} & set(range(len(taken)))):
+            assert i / part - 1 < taken[i] < (i + 1) / part
+        assert abs(len(taken) - part * slots) < 1
+    if "huge" in counts:
+        assert 50 < len(placed["one"]) * rows < 200
+
+
+def test_blocks_grow_only_when_the_schedule_would():
+    assert mixing.rows_of_block({"a": 10**6, "b": 10}, {"a": 1, "b": 1}) == mixing.BLOCK_ROWS
+    rows = mixing.rows_of_block({"a": 10**12, "b": 10}, {"a": 3, "b": 1})
+    assert rows * mixing.SLOTS >= 4 * 10**12 // 3 > (rows - 1) * mixing.SLOTS
 
 
 def test_op5_against_its_definition(spark, texts):
@@ -179,12 +206,9 @@ def test_op5_against_its_definition(spark, texts):
         assert r.source == source[r.doc_id]
         slots.setdefault(r.mix_slot, []).append(r)
     assert sorted(slots) == list(range(len(slots)))
-    shares = mixing.frame_shares({s: Fraction(round(n ** 0.7 * 1e6), 10**6) for s, n in counts.items()})
-    order = mixing.frame_order(shares)
+    order = brute_schedule({s: Fraction(round(n ** 0.7 * 1e6), 10**6) for s, n in counts.items()}, len(slots))
     for slot, block in slots.items():
-        s, i = order[slot % 1000]
-        assert {r.source for r in block} == {s}
-        assert {r.mix_block for r in block} == {slot // 1000 * shares[s] + i}
+        assert {(r.source, r.mix_block) for r in block} == {order[slot]}
         assert sorted(r.mix_place for r in block) == list(range(mixing.BLOCK_ROWS))
     for s, n in counts.items():
         ring = [r.doc_id for r in sorted((r for r in rows if r.source == s), key=lambda r: (r.mix_slot, r.mix_place))]
@@ -199,6 +223,18 @@ def test_mixing_of_odd_rows(spark, odd):
     assert mixing.mix(empty(odd)).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(odd, weights={"s0": 1})
+    with pytest.raises(ValueError):
+        mixing.mix(odd, weights={"s0": 1, "s1": 0, None: 1})
+
+
+def test_mixing_of_more_sources_than_a_chunk(spark):
+    rows = [(i, f"s{i % 1500}", "t") for i in range(3000)] + [(i, "big", "t") for i in range(3000, 8000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), block_rows=2).collect()
+    assert {r.doc_id for r in got if r.mix_epoch == 0} == set(range(8000))
+    counts = Counter(s for _, s, _ in rows)
+    order = in_order(mixing.schedule(mixing.default_weights(counts), {s: -(-n // 2) for s, n in counts.items()}))
+    assert sorted({(r.mix_slot, r.source, r.mix_block) for r in got}) == [(t, s, i) for t, (s, i) in enumerate(order)]
+    assert len(got) == 2 * len(order)
 
 
 def check_shards(rows, shards):

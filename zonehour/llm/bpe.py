@@ -28,8 +28,10 @@ WHITE = "\t-\r \x85\xa0  -     　"
 #: Text falls apart before each run of white space that follows other characters: no match of the
 #: splitting pattern crosses such a place, so the parts are encoded alone and looked up again.
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Entries that a worker's look-up tables hold at most before they start anew (about 100 MB).
-CACHE_ENTRIES = 300_000
+#: Entries that each of a worker's look-up tables holds at most before it starts anew (some 60 MB in all).
+CACHE_ENTRIES = 100_000
+#: Bytes of text that are encoded together; their ids and decoded bytes are held at once.
+SLICE_BYTES = 2 << 20
 #: Later than any merge.
 FOREVER = 1 << 40
 
@@ -236,7 +238,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
         plain = [cache.pairs.decode(np.frombuffer(i, "<u4").tolist()) for i in ids]
         return {"doc_id": rows["doc_id"], "n_tokens": [len(i) // 4 for i in ids], "ids": ids, "decoded": plain}
 
-    return text_rows(keyed_text(docs), "doc_id bigint, n_tokens bigint, ids binary, decoded binary", work)
+    return text_rows(keyed_text(docs), "doc_id bigint, n_tokens bigint, ids binary, decoded binary", work, SLICE_BYTES)
 
 
 def encoding_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -253,4 +255,4 @@ def encoding_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
         return out
 
     return text_rows(keyed_text(docs), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
-                     work)
+                     work, SLICE_BYTES)

@@ -64,6 +64,7 @@ def text_rows(df: DataFrame, schema: str, work: Callable[[dict[str, list]], dict
         for batch in batches:
             for part in slices(batch, limit):
                 yield pa.RecordBatch.from_pydict(work(part.to_pydict()), schema=arrow)
+                pa.default_memory_pool().release_unused()
 
     return arrow_map(df, run, schema)
 
