@@ -28,10 +28,10 @@ WHITE = "\t-\r \x85\xa0  -     　"
 #: Text falls apart before each run of white space that follows other characters: no match of the
 #: splitting pattern crosses such a place, so the parts are encoded alone and looked up again.
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Entries that each of a worker's look-up tables holds at most before it starts anew (some 60 MB in all).
-CACHE_ENTRIES = 100_000
-#: Bytes of text that are encoded together; their ids and decoded bytes are held at once.
-SLICE_BYTES = 2 << 20
+#: Entries that a worker's look-up tables hold at most before they start anew (about 100 MB).
+CACHE_ENTRIES = 300_000
+#: The same where ids and decoded bytes are held and written too, and the bytes of text encoded together there.
+FULL_ENTRIES, SLICE_BYTES = 100_000, 2 << 20
 #: Later than any merge.
 FOREVER = 1 << 40
 
@@ -191,18 +191,18 @@ def little_endian(ids: list[int]) -> bytes:
 class ChunkCache(dict):
     """Little-endian ids of the parts that ``CHUNK`` finds; starts anew when full."""
 
-    def __init__(self, pairs: BytePairs, pattern: str):
+    def __init__(self, pairs: BytePairs, pattern: str, entries: int = CACHE_ENTRIES):
         super().__init__()
-        self.pairs, self.pieces, self.known = pairs, regex.compile(pattern), {}
+        self.pairs, self.pieces, self.known, self.entries = pairs, regex.compile(pattern), {}, entries
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= self.entries:
             self.clear()
         out = []
         for piece in self.pieces.findall(chunk):
             ids = self.known.get(piece)
             if ids is None:
-                if len(self.known) >= CACHE_ENTRIES:
+                if len(self.known) >= self.entries:
                     self.known.clear()
                 ids = little_endian(self.pairs.encode(piece.encode()))
                 self.known[piece] = ids
@@ -220,9 +220,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 @functools.lru_cache(maxsize=2)
-def chunk_cache(path: str, pattern: str) -> ChunkCache:
+def chunk_cache(path: str, pattern: str, entries: int = CACHE_ENTRIES) -> ChunkCache:
     """One per worker process and vocabulary; it is kept between tasks."""
-    return ChunkCache(BytePairs(load_ranks(path)), pattern)
+    return ChunkCache(BytePairs(load_ranks(path)), pattern, entries)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -233,7 +233,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
     work depends on its text alone, and memory is bounded by the look-up tables and one batch.
     """
     def work(rows: dict) -> dict:
-        cache = chunk_cache(ranks_path, pattern)
+        cache = chunk_cache(ranks_path, pattern, FULL_ENTRIES)
         ids = [cache.encode(t or "") for t in rows["text"]]
         plain = [cache.pairs.decode(np.frombuffer(i, "<u4").tolist()) for i in ids]
         return {"doc_id": rows["doc_id"], "n_tokens": [len(i) // 4 for i in ids], "ids": ids, "decoded": plain}
@@ -255,4 +255,4 @@ def encoding_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
         return out
 
     return text_rows(keyed_text(docs), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
-                     work, SLICE_BYTES)
+                     work)
