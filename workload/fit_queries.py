@@ -1,7 +1,8 @@
 """Folds, candidates, smoothing, cross-validation and bootstrap.
 
-The registered fits run a few rounds, so that the oracle can unroll them as SQL;
-tests run them to convergence.
+Cross-validation, its refit and the zones' surfaces are whole fits; their SQL writes out
+as many rounds as the slowest model needs. The other registered fits compare a few
+rounds step by step; tests run them to convergence.
 """
 
 from pyspark.sql import functions as F
@@ -202,7 +203,7 @@ def smooth_binomial(spark, sf):
     splits, counts = vertex_counts(spark, sf, verts, 2)
     rows = counts.select(F.col("split_id").cast("bigint").alias("model_id"), "vertex",
                          "successes", "attempts")
-    return rounded(S.smooth_binomial(rows, edges, constant_models(splits), rounds=3, tol=0).betas)
+    return rounded(S.smooth_binomial(rows, edges, constant_models(splits), rounds=3, tol=0, relax=1.0).betas)
 
 
 def _gauss_sql(rounds):
@@ -225,43 +226,66 @@ def smooth_gaussian(spark, sf):
     values = vertex_means(spark, sf, verts).withColumn("model_id", F.lit(0).cast("bigint"))
     one = spark.range(1).select(F.col("id").alias("model_id"),
                                 *[F.lit(v).alias(k) for k, v in PEN.items()])
-    return rounded(S.smooth_gaussian(values, edges, one, rounds=3, tol=0).betas.select("vertex", "beta"))
-
-
-def candidates(spark):
-    """Two candidate penalties: weak and strong."""
-    return spark.range(2).select(F.col("id").cast("int").alias("candidate"), *[
-        (F.lit(v) * (1 + 9 * F.col("id"))).alias(k) for k, v in PEN.items()])
-
-
-_CV = f"""{_placed(_TREE1)}, folded AS MATERIALIZED (SELECT *, CASE WHEN attempts >= 1 THEN {X.fold_sql('vertex', 2)} END AS fold FROM dense),
-  cand AS (SELECT candidate, 0.3::double * (1 + 9 * candidate) AS s1, 0.2::double * (1 + 9 * candidate) AS s2,
-     0.1::double * (1 + 9 * candidate) AS t1, 0.4::double * (1 + 9 * candidate) AS t2 FROM (SELECT cast(unnest([0, 1]) AS integer) AS candidate)),
-  mod AS (SELECT cand.*, hf, (candidate * 2 + hf)::bigint AS model_id FROM cand, (SELECT cast(unnest([0, 1]) AS integer) AS hf)), {_edges_sql('mod')},
-  mc AS (SELECT model_id, vertex, CASE WHEN fold = hf THEN 0 ELSE successes END AS successes, CASE WHEN fold = hf THEN 0 ELSE attempts END AS attempts FROM folded, mod),
-  {X.fit_sql('mc', 'ed', 2)},
-  sc AS (SELECT split_id, candidate, s1, s2, t1, t2, sum(successes * -ln(1 + exp(-beta)) + (attempts - successes) * -ln(1 + exp(beta))) / sum(attempts) AS cv_loglik,
-     sum(attempts)::bigint AS heldout_attempts FROM folded JOIN mod ON fold = hf JOIN fv2 USING (model_id, vertex) GROUP BY ALL)"""
+    return rounded(S.smooth_gaussian(values, edges, one, rounds=3, tol=0, relax=1.0).betas.select("vertex", "beta"))
+
+
+# Whole cross-validation: three splits, the 16 corners of the search box and 5 folds are 240 models over the graph of
+# zones and parts of the week (weekdays and weekends), each fitted until it settles.
+CV = {"rounds": 150, "tol": 1e-2, "check_every": 5}
+FOLDS = 5
+
+
+def week_parts(spark, sf):
+    """(cells, vertices, edges) of the graph: vertex 2 * zone, and one more at weekends."""
+    weekend = F.when(F.col("hour").between(25, 144), 0).otherwise(1)
+    cells = X.cells(spark, sf).select("ride_id", "productivity", (F.col("zone") * 2 + weekend).alias("vertex"))
+    zones, adjacent = X.zone_grid(spark, sf), X.adjacency(spark, sf)
+    part = F.explode(F.array(F.lit(0), F.lit(1))).alias("part")
+    within = adjacent.select("zone1", "zone2", part).selectExpr("zone1 * 2 + part AS src", "zone2 * 2 + part AS dst", "false AS temporal")
+    across = zones.selectExpr("zone * 2 AS src", "zone * 2 + 1 AS dst", "true AS temporal")
+    verts = zones.select("zone", part).selectExpr("zone * 2 + part AS vertex")
+    return cells, save_round(verts, "vertices"), save_round(within.unionByName(across), "edges")
+
+
+_WEEK = f"""{X.ADJ}, {_TREE3}, wv AS (SELECT zone * 2 + part AS vertex FROM zg, (SELECT unnest([0, 1]) AS part)),
+  wc AS (SELECT ride_id, productivity, zone * 2 + CASE WHEN hour BETWEEN 25 AND 144 THEN 0 ELSE 1 END AS vertex FROM cells),
+  {X.counts_sql('wc', 'vertex')}, {X.dense_sql('wv', 'vertex')},
+  we AS (SELECT zone1 * 2 + part AS src, zone2 * 2 + part AS dst, false AS temporal FROM adj, (SELECT unnest([0, 1]) AS part)
+     UNION ALL SELECT zone * 2, zone * 2 + 1, true FROM zg)"""
+_CV = f"""{_WEEK}, folded AS MATERIALIZED (SELECT *, CASE WHEN attempts >= 1 THEN {X.fold_sql('vertex', FOLDS)} END AS fold FROM dense),
+  cand AS (SELECT ((a * 2 + b) * 2 + c) * 2 + d AS candidate, pow(10, -2 + 3 * a) AS s1, pow(10, -3 + 5 * b) AS s2, pow(10, -2 + 3 * c) AS t1,
+     pow(10, -3 + 5 * d) AS t2 FROM (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b), (SELECT unnest([0, 1]) AS c), (SELECT unnest([0, 1]) AS d)),
+  mod AS MATERIALIZED (SELECT cand.*, split_id, hf, ((split_id * 16 + candidate) * {FOLDS} + hf)::bigint AS model_id
+     FROM cand, tree, (SELECT cast(unnest(generate_series(0, {FOLDS - 1})) AS integer) AS hf)), {_edges_sql('mod').replace('FROM st,', 'FROM we,')},
+  mc AS (SELECT model_id, vertex, CASE WHEN fold = hf THEN 0 ELSE successes END AS successes, CASE WHEN fold = hf THEN 0 ELSE attempts END AS attempts
+     FROM folded JOIN mod USING (split_id)),
+  {X.settled_fit_sql('mc', 'ed', **CV)},
+  sc AS MATERIALIZED (SELECT split_id, candidate, s1, s2, t1, t2, sum(successes * -ln(1 + exp(-beta)) + (attempts - successes) * -ln(1 + exp(beta))) / sum(attempts) AS cv_loglik,
+     sum(attempts)::bigint AS heldout_attempts FROM folded JOIN mod USING (split_id) JOIN ffit USING (model_id, vertex) WHERE fold = hf GROUP BY ALL)"""
 
 
 def _cv(spark, sf):
-    verts, edges = graph(spark, sf)
-    _, counts = vertex_counts(spark, sf, verts, 1)
-    return counts, edges, E.cross_validate(counts, edges, candidates(spark), folds=2, rounds=2, tol=0, unfinished="keep")
+    cells, verts, edges = week_parts(spark, sf)
+    splits = save_round(T.trail_levels(T.level_cuts(cells, "productivity", T.dyadic_probs(2)), 2), "tree")
+    counts = save_round(C.split_counts(cells, splits, vertices=verts), "counts")
+    return counts, edges, E.cross_validate(counts, edges, V.corner_penalties(spark), folds=FOLDS, **CV)
 
 
-@query("cross_validate", f"""WITH {_CV} SELECT split_id, candidate, {r('s1', 'l1_space')}, {r('s2', 'l2_space')}, {r('t1', 'l1_time')},
+@query("cross_validate", f"""WITH {_CV} SELECT split_id, candidate::integer AS candidate, {r('s1', 'l1_space')}, {r('s2', 'l2_space')}, {r('t1', 'l1_time')},
    {r('t2', 'l2_time')}, {rs('cv_loglik')}, heldout_attempts FROM sc""")
 def cross_validate(spark, sf):
+    """Held-out score of every corner at every split, from fits that have settled."""
     return rounded(_cv(spark, sf)[2])
 
 
-@query("fit_best", f"""WITH {_CV}, bm AS (SELECT 0::bigint AS model_id, s1, s2, t1, t2 FROM sc ORDER BY cv_loglik DESC, candidate LIMIT 1),
-   {_edges_sql('bm').replace('ed AS', 'bed AS')}, bc AS (SELECT 0::bigint AS model_id, vertex, successes, attempts FROM dense),
-   {X.fit_sql('bc', 'bed', 2, 'h')} SELECT 0 AS split_id, vertex, {rs('beta')} FROM hv2""")
+@query("fit_best", f"""WITH {_CV}, bm AS (SELECT split_id::bigint AS model_id, s1, s2, t1, t2 FROM sc
+     QUALIFY row_number() OVER (PARTITION BY split_id ORDER BY cv_loglik DESC, candidate) = 1),
+   {_edges_sql('bm').replace('ed AS', 'bed AS').replace('FROM st,', 'FROM we,')}, bc AS (SELECT split_id::bigint AS model_id, vertex, successes, attempts FROM dense),
+   {X.settled_fit_sql('bc', 'bed', p='h', **CV)} SELECT model_id::integer AS split_id, vertex, {rs('beta')} FROM hfit""")
 def fit_best(spark, sf):
+    """Every split refitted on all counts at its best corner, until it settles."""
     counts, edges, scores = _cv(spark, sf)
-    return rounded(E.fit_best(counts, edges, scores, rounds=2, tol=0, unfinished="keep"))
+    return rounded(E.fit_best(counts, edges, scores, **CV))
 
 
 def _poisson_sql(sim):
@@ -293,7 +317,7 @@ def bootstrap_samples(spark, sf):
     splits, _ = vertex_counts(spark, sf, verts, 1)
     pen = splits.select("split_id", *[F.lit(v).alias(k) for k, v in PEN.items()])
     return rounded(E.bootstrap_samples(
-        placed(spark, sf, verts), verts, edges, splits, pen, samples=2, rounds=2, tol=0, unfinished="keep"))
+        placed(spark, sf, verts), verts, edges, splits, pen, samples=2, rounds=2, tol=0, relax=1.0, unfinished="keep"))
 
 
 # Whole fits: all 36 splits smoothed over the zones' own graph until they settle, and the surfaces from them.
@@ -318,7 +342,7 @@ def _zone_fit(spark, sf):
     edges = X.adjacency(spark, sf).select(
         F.col("zone1").alias("src"), F.col("zone2").alias("dst"), F.lit(False).alias("temporal"))
     fit = S.smooth_binomial(counts, edges, constant_models(splits), rounds=ZONE_ROUNDS, tol=1e-3,
-                            check_every=ZONE_ROUNDS).result()
+                            check_every=ZONE_ROUNDS, relax=1.0).result()
     return fit.select(F.col("vertex").alias("zone"), F.col("model_id").cast("int").alias("split_id"), "beta"), splits
 
 

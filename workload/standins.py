@@ -332,3 +332,49 @@ def edge_step_sql(p: str, k: int) -> str:
       FROM (SELECT *, (a + c) / 2 AS m, sign(a - c) * greatest(abs(a - c) - 2 * l1, 0) / (1 + 4 * l2) / 2 AS h
         FROM (SELECT e.*, j.beta + ud AS c FROM {p}a{k} e
           JOIN {p}v{k} j ON j.model_id = e.model_id AND j.vertex = dst)))"""
+
+
+def settled_fit_sql(counts: str, edges: str, rounds: int, tol: float, check_every: int, p: str = "f", eps: str = "1e-3",
+                    newton: int = 3, reach: float = 4.0, relax: float = 1.7, change: int = 3, written: int = 60) -> str:
+    """CTE text of alternating steps in which every model ends at its own round: ``{p}fit`` has model_id, vertex,
+    beta, rounds. Of at most ``rounds`` rounds the first ``written`` are written out: models that need more are missing.
+    """
+    out = [f"""{p}c AS MATERIALIZED (SELECT model_id, vertex, successes + {eps}::double AS s,
+       attempts + 2 * {eps}::double AS n FROM {counts})""",
+           f"{p}p AS (SELECT model_id, ln(sum(s) / (sum(n) - sum(s))) AS beta FROM {p}c GROUP BY model_id)",
+           f"{p}v0 AS MATERIALIZED (SELECT model_id, vertex, s, n, beta, 1.0::double AS rho FROM {p}c JOIN {p}p USING (model_id))",
+           f"""{p}e0 AS MATERIALIZED (SELECT model_id, src, dst, l1, l2, beta AS zs, beta AS zd, 0.0::double AS us,
+       0.0::double AS ud, 1.0::double AS rho FROM {edges} JOIN {p}p USING (model_id))"""]
+    v, e, ended = f"{p}v0", f"{p}e0", []
+    ahead = f"{relax!r}::double * {{b}} + {1 - relax!r}::double * {{z}} + {{u}}"
+    for k in range(1, written + 1):
+        out.append(f"""{p}m{k} AS MATERIALIZED (SELECT model_id, vertex, sum(pull) AS pull, count(*)::double AS deg
+          FROM (SELECT model_id, src AS vertex, zs - us AS pull FROM {e} UNION ALL SELECT model_id, dst, zd - ud FROM {e})
+          GROUP BY ALL)""")
+        body = f"""(SELECT model_id, vertex, s, n, rho, beta, coalesce(pull, 0) AS pull, coalesce(deg, 0) AS deg
+          FROM {v} LEFT JOIN {p}m{k} USING (model_id, vertex))"""
+        for _ in range(newton):
+            body = f"""(SELECT model_id, vertex, s, n, rho, pull, deg, beta - greatest(least(
+              (n * q - s + rho * (deg * beta - pull)) / greatest(n * q * (1 - q) + rho * deg, 1e-12), {reach}), -{reach}) AS beta
+              FROM (SELECT *, 1 / (1 + exp(-beta)) AS q FROM {body}))"""
+        v = f"{p}v{k}"
+        out.append(f"{v} AS MATERIALIZED (SELECT model_id, vertex, s, n, rho, beta FROM {body})")
+        out.append(f"""{p}a{k} AS MATERIALIZED (SELECT e.*, i.beta AS bs FROM {e} e JOIN {v} i ON i.model_id = e.model_id AND i.vertex = src)""")
+        e = f"{p}e{k}"
+        out.append(f"""{e} AS MATERIALIZED (SELECT model_id, src, dst, l1, l2, m + h AS zs, m - h AS zd, a - (m + h) AS us, c - (m - h) AS ud, rho,
+            pow(bs - (m + h), 2) + pow(bd - (m - h), 2) AS primal, pow((m + h) - zs, 2) + pow((m - h) - zd, 2) AS dual
+          FROM (SELECT *, (a + c) / 2 AS m, sign(a - c) * greatest(abs(a - c) - l1 * (2 / rho), 0) / (1 + l2 * (4 / rho)) / 2 AS h
+            FROM (SELECT *, {ahead.format(b='bs', z='zs', u='us')} AS a, {ahead.format(b='bd', z='zd', u='ud')} AS c
+              FROM (SELECT e.*, j.beta AS bd FROM {p}a{k} e JOIN {v} j ON j.model_id = e.model_id AND j.vertex = dst))))""")
+        if k % check_every == 0:
+            factor = (f"pow(2, greatest(-{change}, least({change}, floor(log2(pr / du) / 4 + 0.5))))" if 4 * k <= 3 * rounds else "1.0")
+            out.append(f"""{p}r{k} AS MATERIALIZED (SELECT model_id, sqrt(greatest(pr, du) / 2) < {tol!r}::double AS settled,
+                CASE WHEN pr > 0 AND du > 0 THEN {factor} ELSE 1.0 END::double AS factor
+              FROM (SELECT model_id, avg(primal) AS pr, avg(dual * rho * rho) AS du FROM {e} GROUP BY model_id))""")
+            ended.append(f"SELECT model_id, vertex, beta, {k} AS rounds FROM {v} JOIN {p}r{k} USING (model_id) WHERE settled")
+            out.append(f"{v}r AS MATERIALIZED (SELECT model_id, vertex, s, n, beta, rho * factor AS rho FROM {v} JOIN {p}r{k} USING (model_id) WHERE NOT settled)")
+            out.append(f"""{e}r AS MATERIALIZED (SELECT model_id, src, dst, l1, l2, zs, zd, us / factor AS us, ud / factor AS ud, rho * factor AS rho
+              FROM {e} JOIN {p}r{k} USING (model_id) WHERE NOT settled)""")
+            v, e = f"{v}r", f"{e}r"
+    out.append(f"{p}fit AS MATERIALIZED ({' UNION ALL '.join(ended)})")
+    return ",\n".join(out)
