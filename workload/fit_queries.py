@@ -7,7 +7,6 @@ rounds step by step; tests run them to convergence.
 
 from pyspark.sql import functions as F
 
-from zonehour.functions.likelihood import poisson_steps
 from zonehour.operators import counts as C
 from zonehour.operators import graph as G
 from zonehour.operators import posterior as P
@@ -288,15 +287,10 @@ def fit_best(spark, sf):
     return rounded(E.fit_best(counts, edges, scores, **CV))
 
 
-def _poisson_sql(sim):
-    u = X.hash_sql("ride_id", sim + 1)
-    return " + ".join(f"CASE WHEN {u} >= {c!r}::double THEN 1 ELSE 0 END" for c in poisson_steps())
-
-
 @query("bootstrap_counts", f"""WITH {X.TREE}, w AS (SELECT zone, productivity, sim, n FROM (
-     SELECT zone, productivity, 0 AS sim, {_poisson_sql(0)} AS n FROM cells
-     UNION ALL SELECT zone, productivity, 1, {_poisson_sql(1)} FROM cells
-     UNION ALL SELECT zone, productivity, 2, {_poisson_sql(2)} FROM cells) WHERE n > 0)
+     SELECT zone, productivity, 0 AS sim, {X.poisson_sql('ride_id', 1)} AS n FROM cells
+     UNION ALL SELECT zone, productivity, 1, {X.poisson_sql('ride_id', 2)} FROM cells
+     UNION ALL SELECT zone, productivity, 2, {X.poisson_sql('ride_id', 3)} FROM cells) WHERE n > 0)
    SELECT zone, sim, split_id, sum(CASE WHEN productivity < mid THEN n ELSE 0 END)::bigint AS successes, sum(n)::bigint AS attempts
    FROM w JOIN tree ON productivity >= lo AND (productivity < up OR (productivity = up AND up = (SELECT max(up) FROM tree))) GROUP BY ALL""")
 def bootstrap_counts(spark, sf):
@@ -305,8 +299,8 @@ def bootstrap_counts(spark, sf):
     return C.roll_up(slots, splits, ["zone", "sim"])
 
 
-@query("bootstrap_samples", f"""WITH {_placed(_TREE1)}, w AS (SELECT vertex, productivity, 0 AS sim, {_poisson_sql(0)} AS n FROM placed
-     UNION ALL SELECT vertex, productivity, 1, {_poisson_sql(1)} FROM placed),
+@query("bootstrap_samples", f"""WITH {_placed(_TREE1)}, w AS (SELECT vertex, productivity, 0 AS sim, {X.poisson_sql('ride_id', 1)} AS n FROM placed
+     UNION ALL SELECT vertex, productivity, 1, {X.poisson_sql('ride_id', 2)} FROM placed),
    k AS (SELECT vertex, sim, sum(CASE WHEN productivity < mid THEN n ELSE 0 END) AS successes, sum(n) AS attempts FROM w, tree GROUP BY ALL),
    mc AS (SELECT sim::bigint AS model_id, vertex, coalesce(successes, 0)::bigint AS successes, coalesce(attempts, 0)::bigint AS attempts
       FROM (SELECT vertex, sim FROM verts, (SELECT unnest([0, 1]) AS sim)) LEFT JOIN k USING (vertex, sim)),

@@ -9,11 +9,11 @@ from zonehour.operators import reshape as H
 from zonehour.operators import splits as T
 from zonehour.operators import validation as V
 from zonehour.plans import reports as M
-from zonehour.plans.densities import with_place
+from zonehour.plans.densities import bootstrap_leaves, with_place
 from zonehour.plans.search import search_report
 
 from . import standins as X
-from .density_queries import _CDF, BY_PLACE, betas, place_leaves
+from .density_queries import _CDF, BY_PLACE, place_leaves
 from .graph_queries import RANKS, VERTEX_TABLE, grid_cells, ranks, vertices, _CELLGRID
 from .registry import query, r, rounded, rs
 from .tree_queries import tree
@@ -59,33 +59,41 @@ def iqr_map(spark, sf):
     return rounded(M.iqr_map(place_leaves(spark, sf)[0], X.zone_grid(spark, sf)))
 
 
-_SAMPLED = f"""{X.TREE}, {X.counts_sql('cells', 'zone, hour, sim')}, {X.PLACES},
-  sp AS (SELECT zone, hour, sim FROM places, (SELECT DISTINCT sim FROM cells) WHERE hour IN (1, 37)),
-  {X.dense_sql('sp', 'zone, hour, sim')}, {X.betas_sql('dense')}, {X.leaves_sql('betas', 'zone, hour, sim')}"""
+# Bands and uncertainty come from bootstrap samples of the rides, at the mapped hours.
+SAMPLES = 20
+_BOOTSTRAP = f"""sims AS (SELECT unnest(generate_series(0, {SAMPLES - 1})) AS sim),
+  bw AS (SELECT zone, hour, productivity, sims.sim AS sim, {X.poisson_sql('ride_id', '(sims.sim + 1)')} AS n
+    FROM (SELECT ride_id, zone, hour, productivity FROM cells WHERE hour IN (1, 37)) c, sims),
+  bcounts AS MATERIALIZED (SELECT zone, hour, sim, split_id, sum(CASE WHEN productivity < mid THEN n ELSE 0 END)::bigint AS successes,
+    sum(n)::bigint AS attempts FROM bw JOIN tree ON productivity >= lo
+      AND (productivity < up OR (productivity = up AND up = (SELECT max(up) FROM tree))) GROUP BY ALL),
+  sp AS (SELECT zone, hour, sim FROM places, sims WHERE hour IN (1, 37)),
+  {X.dense_sql('sp', 'zone, hour, sim', 'bcounts', 'bdense')}, {X.betas_sql('bdense', 'bbetas')},
+  {X.leaves_sql('bbetas', 'zone, hour, sim', 'sleaves')}"""
+_SAMPLED = f"{X.TREE}, {X.PLACES}, {_BOOTSTRAP}"
 
 
-def sample_leaves(spark, sf):
-    """Leaf masses per zone, hour and line number, which plays the sample number."""
-    splits = tree(spark, sf)
-    sims = X.cells(spark, sf).agg(F.collect_set("sim")).scalar()
-    places = X.places(spark, sf).withColumn("sim", F.explode(sims))
-    keys = ("zone", "hour", "sim")
-    return D.leaf_probabilities(betas(spark, sf, keys, places, splits), splits, keys)
+def sample_leaves(spark, sf, splits):
+    """Leaf masses per zone, mapped hour and bootstrap sample."""
+    mapped = lambda df: M.hours_of_interest(df, M.MAP_HOURS)
+    return bootstrap_leaves(mapped(X.cells(spark, sf)), splits, mapped(X.places(spark, sf)), SAMPLES)
 
 
 @query("uncertainty_map_tail", _map_sql("""SELECT zone, hour, quantile_cont(v, 0.95) - quantile_cont(v, 0.05) AS value FROM
-   (SELECT zone, hour, sim, sum(CASE WHEN leaf_up >= 21.64 THEN prob ELSE 0 END) AS v FROM leaves GROUP BY ALL) GROUP BY ALL""",
+   (SELECT zone, hour, sim, sum(CASE WHEN leaf_up >= 21.64 THEN prob ELSE 0 END) AS v FROM sleaves GROUP BY ALL) GROUP BY ALL""",
                                         4, 0.0001, _SAMPLED))
 def uncertainty_map_tail(spark, sf):
-    return rounded(M.uncertainty_map(sample_leaves(spark, sf), X.zone_grid(spark, sf), level=21.64))
+    samples = sample_leaves(spark, sf, tree(spark, sf))
+    return rounded(M.uncertainty_map(samples, X.zone_grid(spark, sf), level=21.64))
 
 
 @query("uncertainty_map_quantile", _map_sql("""SELECT zone, hour, quantile_cont(v, 0.95) - quantile_cont(v, 0.05) AS value FROM
    (SELECT zone, hour, sim, arg_min(leaf_lo + (0.1 - (cum - prob)) / prob * (leaf_up - leaf_lo), leaf) AS v FROM
-     (SELECT *, sum(prob) OVER (PARTITION BY zone, hour, sim ORDER BY leaf) AS cum FROM leaves) WHERE cum >= 0.1 - 1e-12 GROUP BY ALL)
+     (SELECT *, sum(prob) OVER (PARTITION BY zone, hour, sim ORDER BY leaf) AS cum FROM sleaves) WHERE cum >= 0.1 - 1e-12 GROUP BY ALL)
    GROUP BY ALL""", 2, 0.1, _SAMPLED))
 def uncertainty_map_quantile(spark, sf):
-    return rounded(M.uncertainty_map(sample_leaves(spark, sf), X.zone_grid(spark, sf), quantile=0.1))
+    samples = sample_leaves(spark, sf, tree(spark, sf))
+    return rounded(M.uncertainty_map(samples, X.zone_grid(spark, sf), quantile=0.1))
 
 
 @query("attach_to_zones", f"""WITH {X.CELLS}, s AS (SELECT zone, hour, count(*)::bigint AS value FROM cells WHERE hour IN (1, 37) GROUP BY ALL)
@@ -114,7 +122,9 @@ _SITE_SQL = f"""WITH {BY_PLACE}, {_SITES}, {RANKS}, {VERTEX_TABLE},
   gl AS (SELECT x_num, g / sum(g) OVER () AS global_density FROM gl0),
   ch AS (SELECT * FROM dn JOIN sites USING (zone) WHERE hour IN (1, 37)),
   mn AS (SELECT zone, hour, sum(prob * midpoint) AS mean FROM ch GROUP BY ALL),
-  b AS (SELECT zone, hour, x_num, density * 0.9 AS q05, density * 1.1 AS q95 FROM dn WHERE hour IN (1, 37))
+  {_BOOTSTRAP},
+  b AS (SELECT zone, hour, x_num, quantile_cont(d, 0.05) AS q05, quantile_cont(d, 0.95) AS q95
+        FROM (SELECT zone, hour, sim, x_num, prob / width AS d FROM sleaves JOIN wd ON wd.x_num = leaf + 2) GROUP BY ALL)
   SELECT zone, hour, x_num, {rs('x', 'density', 'mean', 'global_density', 'q05', 'q95')}, site_name,
     'n=' || node_counts AS lab, node_counts = 0 AS iszero, cast((hour - 1) // 24 AS integer) AS wday,
     cast((hour - 1) % 24 AS integer) AS hour_of_day, {_LABEL12} AS timelabel
@@ -127,12 +137,9 @@ def site_report(spark, sf):
     leaves, splits = place_leaves(spark, sf)
     points = D.point_probabilities(leaves, ("zone", "hour"))
     widths = D.bin_widths(T.evaluation_points(splits))
-    dens = points.join(widths.select("x_num", "width"), "x_num").withColumn(
-        "density", F.col("prob") / F.col("width"))
-    bands = M.hours_of_interest(dens, M.MAP_HOURS).select(
-        "zone", "hour", "x_num", (F.col("density") * 0.9).alias("q05"),
-        (F.col("density") * 1.1).alias("q95"))
-    return rounded(M.site_report(points, vertices(spark, sf), sites(spark, sf), widths, bands))
+    named = sites(spark, sf)
+    samples = sample_leaves(spark, sf, splits).join(named.select("zone"), "zone", "left_semi")
+    return rounded(M.site_report(points, vertices(spark, sf), named, widths, M.density_bands(samples, widths)))
 
 
 @query("count_labels", f"""WITH {RANKS}, {X.CELLS}, {VERTEX_TABLE} SELECT vertex, node_counts = 0 AS iszero, 'n=' || node_counts AS lab,

@@ -7,6 +7,8 @@ expressions for the oracle. All of them grow with the tables they read.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zonehour.functions.likelihood import poisson_steps
+
 HOURS = 168
 
 
@@ -291,6 +293,12 @@ def hash_sql(ident: str, salt: int) -> str:
     return f"((({h}) * 1664525 + 1013904223) % 4294967296) / 4294967296.0::double"
 
 
+def poisson_sql(ident: str, salt) -> str:
+    """Weight of a ride in the bootstrap sample with this salt (a number, or SQL text)."""
+    u = hash_sql(ident, salt)
+    return " + ".join(f"CASE WHEN {u} >= {c!r}::double THEN 1 ELSE 0 END" for c in poisson_steps())
+
+
 def fold_sql(vertex: str, folds: int, seed: int = 0) -> str:
     return f"cast((((({vertex}) % 2147483648) * 2654435761 + {seed}) % 4294967296) // 65536 % {folds} AS integer)"
 

@@ -93,6 +93,17 @@ def site_extract(points: DataFrame, sites: DataFrame, ranks: DataFrame) -> DataF
     return points.join(named, "zone")
 
 
+def density_bands(samples: DataFrame, widths: DataFrame, keys=("zone", "hour")) -> DataFrame:
+    """(keys, x_num, q05, q50, q95): bands of the density over samples.
+
+    ``samples``: keys, sim, leaf, prob, a fixed number of samples a key; ``widths``: x_num, width.
+    """
+    steps = F.broadcast(widths.select("x_num", "width"))  # one row per evaluation point: a tree parameter
+    dens = samples.withColumn("x_num", F.col("leaf") + 2).join(steps, "x_num").withColumn(
+        "density", F.col("prob") / F.col("width"))
+    return P.posterior_bands(dens, keys, prob="density", bounded=True)
+
+
 def site_report(points: DataFrame, vertices: DataFrame, sites: DataFrame, widths: DataFrame,
                 bands: DataFrame | None = None, hours=MAP_HOURS) -> DataFrame:
     """Density of named zones at chosen hours beside band, mean, counts and global curve.
