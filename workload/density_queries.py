@@ -61,11 +61,9 @@ def leaf_probabilities_samples(spark, sf):
         "zone", "sim", "leaf", "prob"))
 
 
-@query("normalize_mass", f"""WITH {BY_ZONE} SELECT zone, leaf, {r('prob / sum(prob) OVER (PARTITION BY zone)', 'prob')}
-   FROM leaves WHERE leaf_lo > 20""")
+@query("normalize_mass", f"""WITH {BY_ZONE} SELECT zone, leaf, {r('prob / sum(prob) OVER (PARTITION BY zone)', 'prob')} FROM leaves""")
 def normalize_mass(spark, sf):
-    upper = zone_leaves(spark, sf)[0].where(F.col("leaf_lo") > 20)
-    return rounded(D.normalize_mass(upper, ["zone"]).select("zone", "leaf", "prob"))
+    return rounded(D.normalize_mass(zone_leaves(spark, sf)[0], ["zone"]).select("zone", "leaf", "prob"))
 
 
 @query("point_probabilities", f"""WITH {BY_ZONE}, p AS (SELECT zone, leaf + 2 AS x_num, leaf_up AS x, prob FROM leaves

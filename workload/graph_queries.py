@@ -14,20 +14,18 @@ from zonehour.sources.shared import fresh_path, save_round
 from . import standins as X
 from .registry import query, r, rounded, rs
 
-PRESENT = 2000  # account balance above which a zone counts as present in the data
-
 
 def present(spark, sf):
-    return X.zone_grid(spark, sf).where(F.col("s_acctbal") > PRESENT).select("zone")
+    """Zones in which a ride is."""
+    return X.cells(spark, sf).select("zone").distinct()
 
 
 def kept_edges(spark, sf):
     return G.keep_edges_within(X.adjacency(spark, sf), present(spark, sf), "zone")
 
 
-_KEPT = X.ADJ + f""",
-kept AS (SELECT zone1, zone2 FROM adj JOIN zg a ON a.zone = zone1 JOIN zg b ON b.zone = zone2
-         WHERE a.s_acctbal > {PRESENT} AND b.s_acctbal > {PRESENT}),
+_KEPT = f"""{X.ADJ}, {X.CELLS},
+kept AS (SELECT zone1, zone2 FROM adj WHERE zone1 IN (SELECT zone FROM cells) AND zone2 IN (SELECT zone FROM cells)),
 und AS (SELECT zone1 AS a, zone2 AS b FROM kept UNION SELECT zone2, zone1 FROM kept),
 reach(node, other) AS (SELECT a, a FROM und UNION SELECT reach.node, und.b FROM reach JOIN und ON reach.other = und.a),
 cc AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
@@ -99,7 +97,7 @@ def largest_component(spark, sf):
     return G.largest_component(G.connected_components(kept_edges(spark, sf)))
 
 
-@query("present_in_component", f"""WITH RECURSIVE {_KEPT}, {X.CELLS}
+@query("present_in_component", f"""WITH RECURSIVE {_KEPT}
   SELECT DISTINCT zone FROM cells WHERE zone IN (SELECT node FROM cc WHERE component IN (SELECT component FROM big))""")
 def present_in_component(spark, sf):
     part = G.largest_component(G.connected_components(kept_edges(spark, sf)))
