@@ -9,7 +9,6 @@ from zonehour.operators import posterior as P
 from zonehour.operators import quantiles as Q
 from zonehour.operators import reshape as H
 from zonehour.operators import splits as T
-from zonehour.operators.validation import fold_of
 
 from . import standins as X
 from .registry import query, r, rounded, rs
@@ -105,39 +104,6 @@ def log_density_at(spark, sf):
         "ride_id", "zone", "log_density"))
 
 
-_FOLD = X.fold_sql("zone * 168 + hour - 1", 5)
-_HELD = f"""{X.TREE}, folded AS (SELECT *, {_FOLD} AS fold FROM cells),
-  others AS (SELECT productivity, zone, cast(held AS integer) AS fold FROM folded, (SELECT unnest([0, 1, 2, 3, 4]) AS held) WHERE held <> fold),
-  {X.counts_sql('others', 'zone, fold')}, zs AS (SELECT cast(s_suppkey AS integer) AS zone, cast(unnest([0, 1, 2, 3, 4]) AS integer) AS fold FROM supplier),
-  {X.dense_sql('zs', 'zone, fold')}, {X.betas_sql('dense')}, {X.leaves_sql('betas', 'zone, fold')},
-  cutl AS (SELECT list(x ORDER BY x_num) AS cuts FROM pts),
-  placed AS (SELECT zone, fold, least(len(list_filter(cuts, lambda c: c <= productivity)), len(cuts) - 1) - 1 AS leaf FROM folded, cutl)"""
-
-
-@query("heldout_nll", f"""WITH {_HELD} SELECT fold, {r('-avg(ln(prob / (leaf_up - leaf_lo)))', 'nll')}, count(*)::bigint AS n
-   FROM placed JOIN leaves USING (zone, fold, leaf) GROUP BY fold""")
-def heldout_nll(spark, sf):
-    """Every fold of the cells scored by leaves that were fitted on the other four."""
-    splits = tree(spark, sf)
-    values = X.cells(spark, sf).withColumn(
-        "fold", fold_of(F.col("zone") * 168 + F.col("hour") - 1, 5).cast("int"))
-    folds = F.array(*[F.lit(i) for i in range(5)])
-    others = values.withColumn("held", F.explode(F.array_remove(folds, F.col("fold")))).drop("fold").withColumnRenamed(
-        "held", "fold")
-    grid = X.zone_grid(spark, sf).select("zone").withColumn("fold", F.explode(folds))
-    fitted = raw_betas(C.split_counts(others, splits, keys=("zone", "fold"), vertices=grid))
-    leaves = D.leaf_probabilities(fitted, splits, ("zone", "fold"))
-    return rounded(D.heldout_nll(values, leaves, splits, "productivity", ("zone", "fold"), ("fold",)))
-
-
-@query("validation_nll", f"""WITH {_AT} SELECT {r('avg(nll)', 'validation_nll')} FROM
-   (SELECT zone, -avg(log_density) AS nll FROM dens GROUP BY zone)""")
-def validation_nll(spark, sf):
-    leaves, splits = zone_leaves(spark, sf)
-    at = D.log_density_at(X.cells(spark, sf), leaves, splits, "productivity", ("zone",))
-    return rounded(D.validation_nll(at, ("zone",)))
-
-
 _LEVELS = "18.56, 21.64, 32.73, 34.74"
 
 

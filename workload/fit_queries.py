@@ -8,6 +8,7 @@ rounds step by step; tests run them to convergence.
 from pyspark.sql import functions as F
 
 from zonehour.operators import counts as C
+from zonehour.operators import density as D
 from zonehour.operators import graph as G
 from zonehour.operators import posterior as P
 from zonehour.operators import smoothing as S
@@ -246,12 +247,15 @@ def week_parts(spark, sf):
     return cells, save_round(verts, "vertices"), save_round(within.unionByName(across), "edges")
 
 
-_WEEK = f"""{X.ADJ}, {_TREE3}, wv AS (SELECT zone * 2 + part AS vertex FROM zg, (SELECT unnest([0, 1]) AS part)),
+def _week(tree_sql: str) -> str:
+    return f"""{X.ADJ}, {tree_sql}, wv AS (SELECT zone * 2 + part AS vertex FROM zg, (SELECT unnest([0, 1]) AS part)),
   wc AS (SELECT ride_id, productivity, zone * 2 + CASE WHEN hour BETWEEN 25 AND 144 THEN 0 ELSE 1 END AS vertex FROM cells),
   {X.counts_sql('wc', 'vertex')}, {X.dense_sql('wv', 'vertex')},
   we AS (SELECT zone1 * 2 + part AS src, zone2 * 2 + part AS dst, false AS temporal FROM adj, (SELECT unnest([0, 1]) AS part)
      UNION ALL SELECT zone * 2, zone * 2 + 1, true FROM zg)"""
-_CV = f"""{_WEEK}, folded AS MATERIALIZED (SELECT *, CASE WHEN attempts >= 1 THEN {X.fold_sql('vertex', FOLDS)} END AS fold FROM dense),
+
+
+_CV = f"""{_week(_TREE3)}, folded AS MATERIALIZED (SELECT *, CASE WHEN attempts >= 1 THEN {X.fold_sql('vertex', FOLDS)} END AS fold FROM dense),
   cand AS (SELECT ((a * 2 + b) * 2 + c) * 2 + d AS candidate, pow(10, -2 + 3 * a) AS s1, pow(10, -3 + 5 * b) AS s2, pow(10, -2 + 3 * c) AS t1,
      pow(10, -3 + 5 * d) AS t2 FROM (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b), (SELECT unnest([0, 1]) AS c), (SELECT unnest([0, 1]) AS d)),
   mod AS MATERIALIZED (SELECT cand.*, split_id, hf, ((split_id * 16 + candidate) * {FOLDS} + hf)::bigint AS model_id
@@ -287,6 +291,46 @@ def fit_best(spark, sf):
     return rounded(E.fit_best(counts, edges, scores, **CV))
 
 
+_HELD = f"""{_week(X.TREE)}, folded AS MATERIALIZED (SELECT *, {X.fold_sql('vertex', FOLDS)} AS fold FROM dense),
+  mod AS MATERIALIZED (SELECT split_id, hf, (split_id * {FOLDS} + hf)::bigint AS model_id, {_PENSQL}
+     FROM tree, (SELECT cast(unnest(generate_series(0, {FOLDS - 1})) AS integer) AS hf)), {_edges_sql('mod').replace('FROM st,', 'FROM we,')},
+  mc AS (SELECT model_id, vertex, CASE WHEN fold = hf THEN 0 ELSE successes END AS successes, CASE WHEN fold = hf THEN 0 ELSE attempts END AS attempts
+     FROM folded JOIN mod USING (split_id)),
+  {X.settled_fit_sql('mc', 'ed', **CV)},
+  hb AS (SELECT split_id, vertex, beta FROM ffit JOIN mod USING (model_id) WHERE hf = {X.fold_sql('vertex', FOLDS)}),
+  {X.leaves_sql('hb', 'vertex')},
+  cutl AS (SELECT list(x ORDER BY x_num) AS cuts FROM pts),
+  scored AS (SELECT vertex, {X.fold_sql('vertex', FOLDS)} AS fold, ln(prob / (leaf_up - leaf_lo)) AS logd FROM (
+     SELECT vertex, least(len(list_filter(cuts, lambda c: c <= productivity)), len(cuts) - 1) - 1 AS leaf FROM wc, cutl)
+     JOIN leaves USING (vertex, leaf))"""
+
+
+def _held_leaves(spark, sf):
+    """(rides, leaves, splits): the leaves of each vertex come from the fit that didn't see its rides."""
+    cells, verts, edges = week_parts(spark, sf)
+    splits = save_round(tree(spark, sf), "tree")
+    counts = save_round(C.split_counts(cells, splits, vertices=verts), "counts")
+    penalties = splits.select("split_id", *[F.lit(v).alias(k) for k, v in PEN.items()])
+    betas = E.heldout_betas(counts, edges, penalties, FOLDS, **CV)
+    return cells, D.leaf_probabilities(betas, splits, ("vertex",)), splits
+
+
+@query("heldout_nll", f"WITH {_HELD} SELECT fold, {r('-avg(logd)', 'nll')}, count(*)::bigint AS n FROM scored GROUP BY fold")
+def heldout_nll(spark, sf):
+    """Score of each fold's rides under the surface that was fitted without them."""
+    cells, leaves, splits = _held_leaves(spark, sf)
+    values = cells.withColumn("fold", V.fold_of(F.col("vertex"), FOLDS))
+    return rounded(D.heldout_nll(values, leaves, splits, "productivity", ("vertex",), ("fold",)))
+
+
+@query("validation_nll", f"""WITH {_HELD} SELECT {r('avg(nll)', 'validation_nll')} FROM
+   (SELECT vertex, -avg(logd) AS nll FROM scored GROUP BY vertex)""")
+def validation_nll(spark, sf):
+    """The same per vertex, then over vertices."""
+    cells, leaves, splits = _held_leaves(spark, sf)
+    return rounded(D.validation_nll(D.log_density_at(cells, leaves, splits, "productivity", ("vertex",)), ("vertex",)))
+
+
 @query("bootstrap_counts", f"""WITH {X.TREE}, w AS (SELECT zone, productivity, sim, n FROM (
      SELECT zone, productivity, 0 AS sim, {X.poisson_sql('ride_id', 1)} AS n FROM cells
      UNION ALL SELECT zone, productivity, 1, {X.poisson_sql('ride_id', 2)} FROM cells

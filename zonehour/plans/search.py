@@ -33,6 +33,25 @@ def cross_validate(counts: DataFrame, edges: DataFrame, candidates: DataFrame, f
     return scores.join(candidates.select("candidate", *PENALTIES), "candidate")
 
 
+def heldout_betas(counts: DataFrame, edges: DataFrame, penalties: DataFrame, folds: int = 5, seed: int = 0,
+                  unfinished: str = "error", **fit) -> DataFrame:
+    """(split_id, fold, vertex, beta): log-odds of every vertex from the fit in which its own fold has no counts.
+
+    The vertex keeps its place in the graph and gets its rate from its neighbours alone. ``penalties``:
+    split_id and the four penalties. All folds and splits are one job; a vertex is held out at every split by
+    the same fold.
+    """
+    listed = F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))
+    models = save_round(penalties.select("split_id", *PENALTIES).withColumn("held_fold", listed).withColumn(
+        "model_id", F.col("split_id").cast("bigint") * folds + F.col("held_fold")), "models")
+    folded = counts.withColumn("fold", V.fold_of(F.col("vertex"), folds, seed))
+    training = V.mask_fold(folded, folds).join(models.select("split_id", "held_fold", "model_id"), ["split_id", "held_fold"])
+    betas = smooth_binomial(training.select("model_id", "vertex", "successes", "attempts"), edges, models, **fit).result(unfinished)
+    own = F.pmod(F.col("model_id"), F.lit(folds)).cast("int")
+    return betas.where(own == V.fold_of(F.col("vertex"), folds, seed)).select(
+        F.floor(F.col("model_id") / folds).cast("int").alias("split_id"), own.alias("fold"), "vertex", "beta")
+
+
 def fit_best(counts: DataFrame, edges: DataFrame, scores: DataFrame, unfinished: str = "error",
              **fit) -> DataFrame:
     """(split_id, vertex, beta): each split refitted on all counts at its best penalties, to convergence."""
