@@ -84,6 +84,47 @@ def test_minimiser_and_objective(spark):
     assert obj == pytest.approx(value, abs=1e-3)
 
 
+def test_models_settle_at_their_own_round(spark):
+    """Weak, medium and strong penalties together: each model ends by itself, at its own minimiser."""
+    pens = {3: (0.01, 0.001, 0.01, 0.001), 5: (0.6, 0.2, 0.3, 0.8), 8: (0.1, 30.0, 0.1, 30.0)}
+    counts, edges = _counts(seed=4, models=tuple(pens)), _grid()
+    fit = _fit(spark, counts, edges, [(m, *pen) for m, pen in pens.items()], rounds=150, tol=1e-3, check_every=5)
+    report = {r.model_id: r for r in fit.models.collect()}
+    assert fit.converged and set(report) == set(pens) and all(r.settled for r in report.values())
+    assert len({r.rounds for r in report.values()}) > 1 and max(r.rounds for r in report.values()) == fit.rounds
+    got = {(r.model_id, r.vertex): r.beta for r in fit.result().collect()}
+    assert len(got) == len(counts) == fit.betas.count()
+    for m, pen in pens.items():
+        want, _ = _reference_solution([c for c in counts if c[0] == m], edges, pen)
+        assert max(abs(got[m, v] - want[v]) for v in range(16)) < 2e-2
+
+
+def test_unsettled_models_are_reported_and_refused(spark):
+    fit = _fit(spark, _counts(seed=4, models=(0, 1)), _grid(), [(0, 0.01, 0.001, 0.01, 0.001), (1, 10.0, 100.0, 10.0, 100.0)],
+               rounds=20, tol=1e-3, check_every=5)
+    report = {r.model_id: r.settled for r in fit.models.collect()}
+    assert report == {0: True, 1: False} and not fit.converged
+    with pytest.raises(RuntimeError):
+        fit.result()
+    assert fit.result("keep").count() == 32
+
+
+def test_heldout_betas_come_from_the_fit_without_their_fold(spark):
+    counts, edges, pen = _counts(seed=6), _grid(), (0.05, 0.8, 0.05, 0.8)
+    table = spark.createDataFrame([(7, v, s, n) for _, v, s, n in counts], "split_id int, vertex bigint, successes bigint, attempts bigint")
+    penalties = spark.createDataFrame([(7, *pen)], MODEL.replace("model_id bigint", "split_id int"))
+    got = {r.vertex: r for r in E.heldout_betas(table, spark.createDataFrame(edges, EDGE), penalties, folds=2, rounds=150,
+                                                tol=1e-3, check_every=5).collect()}
+    folds = {r.vertex: r.fold for r in table.select("vertex", V.fold_of(F.col("vertex"), 2).alias("fold")).collect()}
+    assert set(got) == set(range(16)) and {r.split_id for r in got.values()} == {7}
+    for fold in (0, 1):
+        masked = [(m, v, 0, 0) if folds[v] == fold else (m, v, s, n) for m, v, s, n in counts]
+        want, _ = _reference_solution(masked, edges, pen)
+        for v in range(16):
+            if folds[v] == fold:
+                assert got[v].fold == fold and abs(got[v].beta - want[v]) < 2e-2
+
+
 def test_start_from_an_earlier_fit_and_stop(spark):
     counts, edges, pen = _counts(seed=4), _grid(), (0.6, 0.2, 0.3, 0.8)
     first = _fit(spark, counts, edges, [(0, *pen)], rounds=40, tol=1e-4)
@@ -137,11 +178,11 @@ def test_smoothing_beats_raw_frequencies_on_held_out_data(spark):
     cand = spark.createDataFrame(
         [(0, 1e-12, 1e-12, 1e-12, 1e-12), (1, 0.05, 1.0, 0.05, 1.0)],
         "candidate int, l1_space double, l2_space double, l1_time double, l2_time double")
-    scores = E.cross_validate(counts, edges, cand, folds=4, rounds=25, unfinished="keep")
+    scores = E.cross_validate(counts, edges, cand, folds=4, rounds=150, tol=1e-2, check_every=5)
     best = V.best_candidate(scores, "cv_loglik").first()
     assert best.candidate == 1
     assert scores.agg(F.max("heldout_attempts")).first()[0] == sum(r[3] for r in rows)
-    betas = E.fit_best(counts, edges, scores, rounds=10, unfinished="keep")
+    betas = E.fit_best(counts, edges, scores, rounds=150, tol=1e-2, check_every=5)
     assert betas.count() == 64
 
 
@@ -160,7 +201,7 @@ def test_events_to_densities_end_to_end(spark):
     pen = splits.selectExpr("split_id", "0.05D AS l1_space", "0.5D AS l2_space", "0.05D AS l1_time",
                             "0.5D AS l2_time")
     placed = G.map_node_to_vertex(values, st.vertices)
-    samples = E.bootstrap_samples(placed, st.vertices, st.edges, splits, pen, samples=3, rounds=4, unfinished="keep")
+    samples = E.bootstrap_samples(placed, st.vertices, st.edges, splits, pen, samples=3, rounds=100, tol=5e-2, check_every=5)
     assert samples.count() == 4 * 168 * 3 * 3
     leaves = D.leaf_probabilities(samples, splits, ("vertex", "sim"))
     off = leaves.groupBy("vertex", "sim").agg(F.sum("prob").alias("p")).where(F.abs(F.col("p") - 1) > 1e-9)
