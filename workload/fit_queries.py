@@ -1,8 +1,7 @@
 """Folds, candidates, smoothing, cross-validation and bootstrap.
 
-Cross-validation, its refit and the zones' surfaces are whole fits; their SQL writes out
-as many rounds as the slowest model needs. The other registered fits compare a few
-rounds step by step; tests run them to convergence.
+All registered fits are whole: every model is fitted until it settles. Their SQL writes
+out as many rounds as the slowest model needs.
 """
 
 from pyspark.sql import functions as F
@@ -26,6 +25,8 @@ from .tree_queries import tree
 
 # Fixed penalties of the registered fits: within-hour and across-hour, L1 and L2.
 PEN = {"l1_space": 0.3, "l2_space": 0.2, "l1_time": 0.1, "l2_time": 0.4}
+# Every model is fitted until its residuals are below tol; more rounds than these are an error.
+CV = {"rounds": 150, "tol": 1e-2, "check_every": 5}
 
 _SMALL_TREE = """
 tree AS MATERIALIZED (SELECT 0 AS split_id, 0 AS lvl, t[1] AS lo, t[3] AS mid, t[5] AS up FROM qq
@@ -195,43 +196,30 @@ def cv_errors(spark, sf):
 
 
 @query("smooth_binomial", f"""WITH {_placed(_TREE3)}, mod AS (SELECT split_id::bigint AS model_id, {_PENSQL} FROM tree), {_edges_sql('mod')},
-  mc AS (SELECT split_id::bigint AS model_id, vertex, successes, attempts FROM dense), {X.fit_sql('mc', 'ed', 3)}
-  SELECT model_id, vertex, {rs('beta')} FROM fv3""")
+  mc AS (SELECT split_id::bigint AS model_id, vertex, successes, attempts FROM dense), {X.settled_fit_sql('mc', 'ed', **CV)}
+  SELECT model_id, vertex, {rs('beta')} FROM ffit""")
 def smooth_binomial(spark, sf):
     """Three splits smoothed together over the whole space-time graph."""
     verts, edges = graph(spark, sf)
     splits, counts = vertex_counts(spark, sf, verts, 2)
     rows = counts.select(F.col("split_id").cast("bigint").alias("model_id"), "vertex",
                          "successes", "attempts")
-    return rounded(S.smooth_binomial(rows, edges, constant_models(splits), rounds=3, tol=0, relax=1.0).betas)
-
-
-def _gauss_sql(rounds):
-    out = ["gv0 AS MATERIALIZED (SELECT 0::bigint AS model_id, vertex, (value IS NOT NULL)::integer::double AS seen, coalesce(value, 0) AS value, 0.0::double AS beta FROM vals)",
-           "ge0 AS MATERIALIZED (SELECT model_id, src, dst, l1, l2, 0.0::double AS zs, 0.0::double AS zd, 0.0::double AS us, 0.0::double AS ud FROM ed)"]
-    for k in range(1, rounds + 1):
-        out.append(f"""gm{k} AS (SELECT vertex, sum(pull) AS pull, count(*) AS deg FROM
-          (SELECT src AS vertex, zs - us AS pull FROM ge{k - 1} UNION ALL SELECT dst, zd - ud FROM ge{k - 1}) GROUP BY vertex)""")
-        out.append(f"""gv{k} AS MATERIALIZED (SELECT model_id, vertex, seen, value, (value + coalesce(pull, 0)) / (seen + 1e-3 + coalesce(deg, 0)) AS beta
-          FROM gv{k - 1} LEFT JOIN gm{k} USING (vertex))""")
-        if k < rounds:
-            out.append(X.edge_step_sql("g", k))
-    return ", ".join(out)
+    return rounded(S.smooth_binomial(rows, edges, constant_models(splits), **CV).result())
 
 
-@query("smooth_gaussian", f"""WITH {_VALUES}, mod AS (SELECT 0::bigint AS model_id, {_PENSQL}), {_edges_sql('mod')}, {_gauss_sql(3)}
-  SELECT vertex, {rs('beta')} FROM gv3""")
+@query("smooth_gaussian", f"""WITH {_VALUES}, mod AS (SELECT 0::bigint AS model_id, {_PENSQL}), {_edges_sql('mod')},
+  gv AS (SELECT 0::bigint AS model_id, vertex, value FROM vals), {X.settled_fit_sql('gv', 'ed', squared=True, **CV)}
+  SELECT vertex, {rs('beta')} FROM ffit""")
 def smooth_gaussian(spark, sf):
     verts, edges = graph(spark, sf)
     values = vertex_means(spark, sf, verts).withColumn("model_id", F.lit(0).cast("bigint"))
     one = spark.range(1).select(F.col("id").alias("model_id"),
                                 *[F.lit(v).alias(k) for k, v in PEN.items()])
-    return rounded(S.smooth_gaussian(values, edges, one, rounds=3, tol=0, relax=1.0).betas.select("vertex", "beta"))
+    return rounded(S.smooth_gaussian(values, edges, one, **CV).result().select("vertex", "beta"))
 
 
 # Whole cross-validation: three splits, the 16 corners of the search box and 5 folds are 240 models over the graph of
 # zones and parts of the week (weekdays and weekends), each fitted until it settles.
-CV = {"rounds": 150, "tol": 1e-2, "check_every": 5}
 FOLDS = 5
 
 
@@ -343,19 +331,25 @@ def bootstrap_counts(spark, sf):
     return C.roll_up(slots, splits, ["zone", "sim"])
 
 
-@query("bootstrap_samples", f"""WITH {_placed(_TREE1)}, w AS (SELECT vertex, productivity, 0 AS sim, {X.poisson_sql('ride_id', 1)} AS n FROM placed
-     UNION ALL SELECT vertex, productivity, 1, {X.poisson_sql('ride_id', 2)} FROM placed),
-   k AS (SELECT vertex, sim, sum(CASE WHEN productivity < mid THEN n ELSE 0 END) AS successes, sum(n) AS attempts FROM w, tree GROUP BY ALL),
-   mc AS (SELECT sim::bigint AS model_id, vertex, coalesce(successes, 0)::bigint AS successes, coalesce(attempts, 0)::bigint AS attempts
-      FROM (SELECT vertex, sim FROM verts, (SELECT unnest([0, 1]) AS sim)) LEFT JOIN k USING (vertex, sim)),
-   mod AS (SELECT unnest([0, 1])::bigint AS model_id, {_PENSQL}), {_edges_sql('mod')}, {X.fit_sql('mc', 'ed', 2)}
-   SELECT 0 AS split_id, cast(model_id AS integer) AS sim, vertex, {rs('beta')} FROM fv2""")
+SAMPLES = 20
+
+
+@query("bootstrap_samples", f"""WITH {_week(X.TREE)},
+   sims AS (SELECT unnest(generate_series(0, {SAMPLES - 1})) AS sim),
+   w AS (SELECT vertex, productivity, sims.sim AS sim, {X.poisson_sql('ride_id', '(sims.sim + 1)')} AS n FROM wc, sims),
+   k AS (SELECT vertex, sim, split_id, sum(CASE WHEN productivity < mid THEN n ELSE 0 END) AS successes, sum(n) AS attempts
+      FROM w JOIN tree ON productivity >= lo AND (productivity < up OR (productivity = up AND up = (SELECT max(up) FROM tree))) GROUP BY ALL),
+   mc AS (SELECT (split_id * {SAMPLES} + sim)::bigint AS model_id, vertex, coalesce(successes, 0)::bigint AS successes, coalesce(attempts, 0)::bigint AS attempts
+      FROM (SELECT vertex, sim, split_id FROM wv, sims, tree) LEFT JOIN k USING (vertex, sim, split_id)),
+   mod AS (SELECT (split_id * {SAMPLES} + sim)::bigint AS model_id, {_PENSQL} FROM tree, sims), {_edges_sql('mod').replace('FROM st,', 'FROM we,')},
+   {X.settled_fit_sql('mc', 'ed', **CV)}
+   SELECT (model_id // {SAMPLES})::integer AS split_id, (model_id % {SAMPLES})::integer AS sim, vertex, {rs('beta')} FROM ffit""")
 def bootstrap_samples(spark, sf):
-    verts, edges = graph(spark, sf)
-    splits, _ = vertex_counts(spark, sf, verts, 1)
+    """Twenty smoothed samples of all splits, over the graph of zones and parts of the week."""
+    cells, verts, edges = week_parts(spark, sf)
+    splits = save_round(tree(spark, sf), "tree")
     pen = splits.select("split_id", *[F.lit(v).alias(k) for k, v in PEN.items()])
-    return rounded(E.bootstrap_samples(
-        placed(spark, sf, verts), verts, edges, splits, pen, samples=2, rounds=2, tol=0, relax=1.0, unfinished="keep"))
+    return rounded(E.bootstrap_samples(cells, verts, edges, splits, pen, SAMPLES, **CV))
 
 
 # Whole fits: all 36 splits smoothed over the zones' own graph until they settle, and the surfaces from them.

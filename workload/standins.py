@@ -343,13 +343,17 @@ def edge_step_sql(p: str, k: int) -> str:
 
 
 def settled_fit_sql(counts: str, edges: str, rounds: int, tol: float, check_every: int, p: str = "f", eps: str = "1e-3",
-                    newton: int = 3, reach: float = 4.0, relax: float = 1.7, change: int = 3, written: int = 60) -> str:
+                    newton: int = 3, reach: float = 4.0, relax: float = 1.7, change: int = 3, written: int = 60,
+                    squared: bool = False) -> str:
     """CTE text of alternating steps in which every model ends at its own round: ``{p}fit`` has model_id, vertex,
     beta, rounds. Of at most ``rounds`` rounds the first ``written`` are written out: models that need more are missing.
+    ``squared``: ``counts`` has model_id, vertex, value, and the loss is squared.
     """
-    out = [f"""{p}c AS MATERIALIZED (SELECT model_id, vertex, successes + {eps}::double AS s,
-       attempts + 2 * {eps}::double AS n FROM {counts})""",
-           f"{p}p AS (SELECT model_id, ln(sum(s) / (sum(n) - sum(s))) AS beta FROM {p}c GROUP BY model_id)",
+    data, start = f"successes + {eps}::double AS s, attempts + 2 * {eps}::double AS n", "ln(sum(s) / (sum(n) - sum(s)))"
+    if squared:
+        data, start = "coalesce(value, 0) AS s, (value IS NOT NULL)::integer::double AS n", "0.0::double"
+    out = [f"{p}c AS MATERIALIZED (SELECT model_id, vertex, {data} FROM {counts})",
+           f"{p}p AS (SELECT model_id, {start} AS beta FROM {p}c GROUP BY model_id)",
            f"{p}v0 AS MATERIALIZED (SELECT model_id, vertex, s, n, beta, 1.0::double AS rho FROM {p}c JOIN {p}p USING (model_id))",
            f"""{p}e0 AS MATERIALIZED (SELECT model_id, src, dst, l1, l2, beta AS zs, beta AS zd, 0.0::double AS us,
        0.0::double AS ud, 1.0::double AS rho FROM {edges} JOIN {p}p USING (model_id))"""]
@@ -361,7 +365,9 @@ def settled_fit_sql(counts: str, edges: str, rounds: int, tol: float, check_ever
           GROUP BY ALL)""")
         body = f"""(SELECT model_id, vertex, s, n, rho, beta, coalesce(pull, 0) AS pull, coalesce(deg, 0) AS deg
           FROM {v} LEFT JOIN {p}m{k} USING (model_id, vertex))"""
-        for _ in range(newton):
+        if squared:
+            body = f"(SELECT model_id, vertex, s, n, rho, (s + rho * pull) / (n + {eps}::double + rho * deg) AS beta FROM {body})"
+        for _ in range(0 if squared else newton):
             body = f"""(SELECT model_id, vertex, s, n, rho, pull, deg, beta - greatest(least(
               (n * q - s + rho * (deg * beta - pull)) / greatest(n * q * (1 - q) + rho * deg, 1e-12), {reach}), -{reach}) AS beta
               FROM (SELECT *, 1 / (1 + exp(-beta)) AS q FROM {body}))"""
