@@ -14,7 +14,9 @@ from zonehour.operators import smoothing as S
 from zonehour.operators import splits as T
 from zonehour.operators import validation as V
 from zonehour.plans import search as E
+from zonehour.plans import reports as M
 from zonehour.plans.densities import surfaces
+from zonehour.plans.spacetime import SpaceTime, stored_betas
 from zonehour.sources.shared import save_round
 
 from . import standins as X
@@ -389,3 +391,46 @@ def smoothed_tail_probability(spark, sf):
    FROM zcdf, (SELECT unnest([0.1, 0.25, 0.5, 0.75])::double AS level) WHERE cum >= level - 1e-12 GROUP BY ALL""")
 def smoothed_density_quantile(spark, sf):
     return rounded(zone_surfaces(spark, sf).quantiles, 4)
+
+
+# The surface over zone and hour: all 36 splits smoothed over the whole space-time graph. The fit is stored, and the maps
+# read it. Written out in SQL it takes some 20 GB at sf0.01, so there is none; tests/test_coarse_and_stored.py has a plain solver.
+SURFACE_FIT = {**CV, "coarsest": 4000}
+
+
+def spacetime_leaves(spark, sf):
+    """(leaves, splits) of the stored space-time fit, by zone and hour."""
+    splits = save_round(tree(spark, sf), "tree")
+
+    def make():
+        verts, edges = graph(spark, sf)
+        return SpaceTime(verts, edges, C.split_counts(placed(spark, sf, verts), splits, vertices=verts))
+
+    penalties = splits.select("split_id", *[F.lit(v).alias(k) for k, v in PEN.items()])
+    inputs = [X.table(spark, sf, t) for t in ("lineitem", "supplier")]
+    betas = stored_betas(make, inputs, splits, penalties, **SURFACE_FIT).drop("vertex")
+    return D.leaf_probabilities(betas, splits, ("zone", "hour")), splits
+
+
+@query("smoothed_exceedance_map")
+def smoothed_exceedance_map(spark, sf):
+    """Probability of reaching a level, per zone at the mapped hours, from the smoothed surface."""
+    points = D.point_probabilities(spacetime_leaves(spark, sf)[0], ("zone", "hour"))
+    return rounded(M.exceedance_map(points, X.zone_grid(spark, sf), 32.73))
+
+
+@query("smoothed_quantile_map")
+def smoothed_quantile_map(spark, sf):
+    return rounded(M.quantile_map(spacetime_leaves(spark, sf)[0], X.zone_grid(spark, sf), 0.25))
+
+
+@query("smoothed_iqr_map")
+def smoothed_iqr_map(spark, sf):
+    return rounded(M.iqr_map(spacetime_leaves(spark, sf)[0], X.zone_grid(spark, sf)))
+
+
+@query("smoothed_surface")
+def smoothed_surface(spark, sf):
+    """Probability of reaching each income level, at every zone and hour of the week, from the smoothed surface."""
+    points = D.point_probabilities(spacetime_leaves(spark, sf)[0], ("zone", "hour"))
+    return rounded(D.tail_probability(points, (18.56, 21.64, 32.73, 34.74), ("zone", "hour")))
