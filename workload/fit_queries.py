@@ -394,7 +394,7 @@ def smoothed_density_quantile(spark, sf):
 
 
 # The surface over zone and hour: all 36 splits smoothed over the whole space-time graph. The fit is stored, and the maps
-# read it. Written out in SQL it takes some 20 GB at sf0.01, so there is none; tests/test_coarse_and_stored.py has a plain solver.
+# read it. Written out in SQL it would take an estimated 20 GB at sf0.01, so there is none; tests/test_coarse_and_stored.py has a plain solver.
 SURFACE_FIT = {**CV, "coarsest": 4000}
 
 
