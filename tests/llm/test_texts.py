@@ -1,6 +1,7 @@
 """Quality rules, near duplicates, pages, lines, fingerprints and licences against brute force and by hand."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -118,9 +119,24 @@ def shingles(text):
     return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
+def shingle_weights(text):
+    """1 + ln of how often each shingle is found."""
+    words = (text or "").encode().split()
+    found = Counter(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else {}
+    return {x: 1 + math.log(c) for x, c in found.items()}
+
+
+def brute_probability_jaccard(a, b):
+    """By the definition: over shared shingles, 1 / sum of the greater one of both ratios over all shingles."""
+    return sum(1 / sum(max(a.get(e, 0) / a[d], b.get(e, 0) / b[d]) for e in a.keys() | b.keys()) for d in a.keys() & b.keys())
+
+
 def brute_classes(rows):
-    """Connected components over all pairs with similarity of 0.8 or more; equal word sequences are linked."""
+    """Connected components over all pairs with a similarity of 0.8 or more, of distinct shingles or the probability
+    Jaccard of weighted ones; equal word sequences are linked."""
     sets = [shingles(t) for _, t in rows]
+    weighed = [shingle_weights(t) for _, t in rows]
+    uneven = [any(w > 1 for w in x.values()) for x in weighed]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -133,6 +149,10 @@ def brute_classes(rows):
             both = len(sets[i] & sets[j])
             if (not sets[i] and not sets[j]) or (both and 5 * both >= 4 * len(sets[i] | sets[j])):
                 parent[find(i)] = find(j)
+            # Without repeated shingles both measures are one; the sum needs some shared ones.
+            elif both > 0.1 * len(sets[i] | sets[j]) and (uneven[i] or uneven[j]) and find(i) != find(j):
+                if brute_probability_jaccard(weighed[i], weighed[j]) >= 0.8 - 1e-9:
+                    parent[find(i)] = find(j)
     members = defaultdict(list)
     for i in range(len(rows)):
         members[find(i)].append(rows[i])
@@ -194,6 +214,49 @@ def test_copies_with_repeated_passages_are_found(spark, monkeypatch, block):
     assert rows_of(near_dedup.class_ids(df)) == want
 
 
+@pytest.mark.parametrize("block", [2048, 7])
+def test_pairs_alike_by_weight_alone_are_found(spark, monkeypatch, block):
+    """Texts that repeat a common core and have ends of their own, in buckets that a shared passage keeps crowded."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rnd = random.Random(block)
+    fresh = lambda n: [f"t{rnd.randrange(10**9)}" for _ in range(n)]
+    rows, passage = [], fresh(50)
+    for tail in (5, 20, 35, 45, 60, 100):
+        core, times = fresh(100), rnd.choice([30, 50])
+        for _ in range(4):
+            rows.append((len(rows), " ".join(core * times + fresh(tail))))
+    for _ in range(40):
+        rows.append((len(rows), " ".join(passage + fresh(16))))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute_classes(rows)
+    by_sets = [max(len(shingles(rows[i][1]) & shingles(rows[j][1])) / len(shingles(rows[i][1]) | shingles(rows[j][1]))
+                   for j in range(24) if j != i) for i in range(24)]
+    assert sum(n == 4 for d, _, n in want.elements() if by_sets[d if d < 24 else 0] < 0.8) >= 8
+    assert rows_of(near_dedup.class_ids(df)) == want
+
+
+def test_exact_probability_jaccard():
+    rnd = np.random.default_rng(6)
+    for n in (1, 2, 7, 60):
+        names = np.unique(rnd.integers(0, 1 << 63, 2 * n, np.uint64))
+        a, b = (np.sort(rnd.choice(names, n, replace=False)) for _ in range(2))
+        ta, tb = rnd.integers(1, 5, n), rnd.integers(1, 5, n)
+        exact = brute_probability_jaccard(dict(zip(a, near_dedup.weight(ta))), dict(zip(b, near_dedup.weight(tb))))
+        assert near_dedup.probability_jaccard(a, near_dedup.weight(ta), b, near_dedup.weight(tb)) == pytest.approx(exact)
+        assert np.array_equal(near_dedup.weights(n, near_dedup.repeats(ta)), near_dedup.weight(ta))
+
+
+def test_large_classes_are_known_by_broadcast(spark, monkeypatch):
+    """The facts of large classes and of others meet the same rows, NULL ids included."""
+    rows = [(i if i % 7 else None, "same words in all of these rows") for i in range(60)] + [
+        (100 + i, f"row {i} is quite alone with this text of its own {i}") for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for share in (2, 10, 1000):
+        monkeypatch.setattr(near_dedup, "HOT_SHARE", share)
+        assert rows_of(near_dedup.class_ids(df)) == brute_classes(rows)
+        assert near_dedup.first_of_class(df).count() == 91
+
+
 def test_sketches_estimate_probability_jaccard():
     rnd = np.random.default_rng(5)
     names = rnd.integers(0, 1 << 63, 300, np.uint64)
