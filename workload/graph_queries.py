@@ -92,6 +92,11 @@ def connected_components(spark, sf):
     return G.connected_components(kept_edges(spark, sf))
 
 
+@query("components_by_contraction", f"WITH RECURSIVE {_KEPT} SELECT node, component FROM cc")
+def components_by_contraction(spark, sf):
+    return G.contracted_components(kept_edges(spark, sf))
+
+
 @query("largest_component", f"WITH RECURSIVE {_KEPT} SELECT node, component FROM cc WHERE component IN (SELECT component FROM big)")
 def largest_component(spark, sf):
     return G.largest_component(G.connected_components(kept_edges(spark, sf)))

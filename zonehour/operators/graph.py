@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.weektime import HOURS_PER_WEEK, bin_label, node_key
 from ..sources.shared import drop_round, save_round
+from .joins import with_known
 from .ranking import number_rows
 
 
@@ -62,6 +63,46 @@ def connected_components(edges: DataFrame, a: str = "zone1", b: str = "zone2") -
     return labels.select("node", "component")
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """A digest of an edge table, and its number of edges."""
+    h = F.xxhash64("hi", "lo")
+    row = edges.agg(F.count("*"), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 31)))).first()
+    return tuple(row)
+
+
+def contracted_components(edges: DataFrame, a: str = "zone1", b: str = "zone2") -> DataFrame:
+    """(node, component), as ``connected_components`` gives, by contraction of the edge table.
+
+    Edges are kept from the greater end ``hi`` to the lesser one ``lo``. In turn, every node passes its greater
+    neighbours to the least node it knows, and then its lesser neighbours and itself. Neither adds edges, and the
+    number of rounds grows with the logarithm of the longest path, until each component is a star around its least
+    node. Nodes with a large part of all edges are looked up by broadcast, so a hub is never one task. Edges
+    with a NULL end are no edges; a loop makes its node one of its own. Both steps of a round are written tables.
+    """
+    ends = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    nodes = ends.select(F.col("x").alias("node")).union(ends.select("y")).distinct()
+    star = save_round(ends.where("x <> y").select(
+        F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct(), "star")
+    mark = _mark(star)
+    while mark[0]:
+        least = star.groupBy("hi").agg(F.min("lo").alias("least"))
+        known = star.groupBy("lo").agg(F.count("*").alias("_n")).join(
+            least.withColumnRenamed("hi", "lo"), "lo", "left")
+        large = save_round(with_known(star, known, "lo", "_n", mark[0]).select(
+            "hi", F.coalesce("least", "lo").alias("lo")).distinct(), "star")
+        drop_round(star)
+        least = large.groupBy("hi").agg(F.min("lo").alias("least"), F.count("*").alias("_n"))
+        passed = with_known(large, least, "hi", "_n", mark[0]).where("lo <> least").select(
+            F.col("lo").alias("hi"), F.col("least").alias("lo"))
+        star = save_round(passed.union(least.select("hi", "least")).distinct(), "star")
+        drop_round(large)
+        before, mark = mark, _mark(star)
+        if mark == before:
+            break
+    return nodes.join(star.withColumnRenamed("hi", "node"), "node", "left").select(
+        "node", F.coalesce("lo", "node").alias("component"))
+
+
 def largest_component(components: DataFrame) -> DataFrame:
     """Nodes of the largest component; ties go to the smaller component id."""
     top = (
