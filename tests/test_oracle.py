@@ -14,8 +14,12 @@ def con():
     return check.oracle(SF_DIR)
 
 
+#: They read the stored space-time fit, whose written-out SQL would be too large; test_coarse_and_stored.py tests it.
+STORED = {"smoothed_surface", "smoothed_exceedance_map", "smoothed_quantile_map", "smoothed_iqr_map"}
+
+
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - set(ORACLES) == STORED and set(ORACLES) <= set(QUERIES)
 
 
 def test_entry_has_rows(spark):

@@ -10,6 +10,7 @@ from zonehour.operators import counts as C
 from zonehour.operators import density as D
 from zonehour.operators import graph as G
 from zonehour.operators import posterior as P
+from zonehour.operators import quadratic as Q
 from zonehour.operators import smoothing as S
 from zonehour.operators import splits as T
 from zonehour.operators import validation as V
@@ -271,6 +272,40 @@ def cross_validate(spark, sf):
     return rounded(_cv(spark, sf)[2])
 
 
+# Squared penalties within a part of the week and across parts, of three models.
+SQUARED = ((0, 0.2, 0.4), (1, 1.0, 1.0), (2, 5.0, 0.5))
+
+
+def _conjugate_sql(rounds: int = 40) -> str:
+    """CTE text of conjugate gradients for ``qv`` (model_id, vertex, value) and ``qe`` (model_id, vertex, other, c)."""
+    out = ["""x0 AS MATERIALIZED (SELECT model_id, vertex, diag, 0.0::double AS x, b AS r, b / diag AS p FROM (
+      SELECT model_id, vertex, (value IS NOT NULL)::integer + 1e-3::double + coalesce(deg, 0) AS diag, coalesce(value, 0) AS b FROM qv
+      LEFT JOIN (SELECT model_id, vertex, sum(c) AS deg FROM qe GROUP BY ALL) USING (model_id, vertex)))"""]
+    for k in range(1, rounds + 1):
+        out.append(f"""q{k} AS MATERIALIZED (SELECT v.*, diag * p - coalesce(s, 0) AS q FROM x{k - 1} v LEFT JOIN (
+          SELECT e.model_id, e.vertex, sum(c * p) AS s FROM qe e JOIN x{k - 1} o ON o.model_id = e.model_id AND o.vertex = e.other
+          GROUP BY ALL) USING (model_id, vertex)),
+        y{k} AS MATERIALIZED (SELECT model_id, vertex, diag, p, x + alpha * p AS x, r - alpha * q AS r, rz FROM q{k} JOIN (SELECT model_id,
+          sum(r * r / diag) AS rz, coalesce(sum(r * r / diag) / nullif(sum(p * q), 0), 0) AS alpha FROM q{k} GROUP BY model_id) USING (model_id)),
+        x{k} AS MATERIALIZED (SELECT model_id, vertex, diag, x, r, r / diag + turn * p AS p FROM y{k} JOIN (SELECT model_id,
+          coalesce(sum(r * r / diag) / nullif(max(rz), 0), 0) AS turn FROM y{k} GROUP BY model_id) USING (model_id))""")
+    return ", ".join(out)
+
+
+@query("smooth_quadratic", f"""WITH {_week(_TREE3)}, qm AS (SELECT * FROM (VALUES {', '.join(f'({m}::bigint, {a}::double, {b}::double)' for m, a, b in SQUARED)}) AS listed(m, s, t)),
+  qv AS MATERIALIZED (SELECT m AS model_id, vertex, value FROM qm, (SELECT wv.vertex, avg(productivity) / 10 AS value FROM wv LEFT JOIN wc USING (vertex) GROUP BY ALL)),
+  qh AS (SELECT m AS model_id, src, dst, 2 * CASE WHEN temporal THEN t ELSE s END AS c FROM we, qm),
+  qe AS MATERIALIZED (SELECT model_id, src AS vertex, dst AS other, c FROM qh UNION ALL SELECT model_id, dst, src, c FROM qh), {_conjugate_sql()}
+  SELECT model_id, vertex, {r('x', 'beta')} FROM x40""")
+def smooth_quadratic(spark, sf):
+    """Means of zones and parts of the week under squared penalties, solved to a residual of 1e-10."""
+    cells, verts, edges = week_parts(spark, sf)
+    means = cells.groupBy("vertex").agg((F.avg("productivity") / 10).alias("value"))
+    models = spark.createDataFrame([(m, s, t) for m, s, t in SQUARED], "model_id bigint, l2_space double, l2_time double")
+    values = verts.join(means, "vertex", "left").withColumn("model_id", F.explode(F.array(*[F.lit(m).cast("bigint") for m, _, _ in SQUARED])))
+    return rounded(Q.smooth_quadratic(values, edges, models).result())
+
+
 @query("fit_best", f"""WITH {_CV}, bm AS (SELECT split_id::bigint AS model_id, s1, s2, t1, t2 FROM sc
      QUALIFY row_number() OVER (PARTITION BY split_id ORDER BY cv_loglik DESC, candidate) = 1),
    {_edges_sql('bm').replace('ed AS', 'bed AS').replace('FROM st,', 'FROM we,')}, bc AS (SELECT split_id::bigint AS model_id, vertex, successes, attempts FROM dense),
