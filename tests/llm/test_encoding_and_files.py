@@ -126,6 +126,40 @@ def test_token_files_of_odd_rows(spark, odd, tmp_path):
     assert token_files.read_token_files(none, str(tmp_path / "b")).count() == 0
 
 
+def test_token_files_of_capitals_before_marks(spark, tmp_path):
+    """A small letter and a mark may compose where the capital and the mark don't: case matters until NFC is done."""
+    texts = ["J\u030c H\u0331 T\u0308 W\u030a Y\u030a", "j\u030c h\u0331", "xJ\u0323\u030cx, E\u0301 ÀÞ× É÷", "I\u0307 \u0130"]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    manifest = token_files.write_token_files(docs, str(tmp_path / "a"), path, 1)
+    for row in token_files.read_token_files(manifest, str(tmp_path / "a")).collect():
+        want = library.encode(texts[row.doc_id], add_special_tokens=False).ids + [1]
+        assert np.frombuffer(bytes(row.ids), "<u4").tolist() == want
+
+
+def test_missing_parts_go_to_the_library_in_one_call(monkeypatch):
+    path, rnd = public_tokenizers.path("word_bpe_49k.json"), random.Random(7)
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    signs = "abJTé\u00c9\u00d7\u00f7\u030c\u0308'st09 \n\x1c.,!<|>中"
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(80))) + " often" for _ in range(300)]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    words, asked = token_files.WordIds(path), []
+    ask = words.model_ids
+    monkeypatch.setattr(words, "model_ids", lambda parts: asked.append(parts) or ask(parts))
+    assert words.encode([t.encode() for t in texts]) == want
+    assert len(asked) == 1 and len(asked[0]) == len(set(asked[0]))
+    # tables that start anew, and texts in pieces, give the same; a frequent part isn't asked for again
+    monkeypatch.setattr(token_files, "CACHE_ENTRIES", 100)
+    asked.clear()
+    assert [words.encode([t.encode()])[0] for t in texts] == want
+    assert sum(b"often" in parts for parts in asked) == 0 and len(words.new) < 300
+    monkeypatch.setattr(token_files, "AT_ONCE", 10)
+    assert words.encode([t.encode() for t in texts]) == want
+    assert words.encode([b"a\xff\xc3 b\xc3", b" ", b""])[1:] == [b"", b""]
+
+
 def test_token_file_is_seekable_zstandard_and_finds_damage(tmp_path):
     from pyarrow.fs import LocalFileSystem
 

@@ -16,6 +16,7 @@ after an executor is lost replaces its file by an equal one.
 """
 
 import functools
+import os
 import re
 import struct
 import unicodedata
@@ -31,8 +32,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
-from .common import arrow_map, arrow_schema, keyed_text, slices
+from .common import ASCII_SPACE, arrow_map, arrow_schema, keyed_text, slices
 
 #: Fixed values of the public seekable format.
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC, WITH_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -41,48 +43,144 @@ FRAME_LIMIT = (1 << 32) - 1
 MANIFEST = "part int, path string, n_docs bigint, n_tokens bigint, n_bytes bigint"
 TOKENS = "doc_id bigint, start bigint, ids binary"
 
-#: Words whose ids a worker keeps at most before it starts anew (about 100 MB).
-CACHE_ENTRIES = 300_000
-#: Lower-case letters that stay as they are under NFC and lower-casing, then other signs without the apostrophe.
-PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
-
-
-class WordIds(dict):
-    """Little-endian ids of the words between ASCII white space, by the tokenizers library.
-
-    The tokenizer drops white space and lower-cases, so a text's ids are those of its words in turn, and
-    each word is encoded once. A word of plain letters with signs after it needs no normalisation: the
-    library's model takes both parts directly. All others go through the whole tokenizer.
+#: A worker keeps the ids of two generations of parts, each of so many entries (about 40 MB) or so many bytes of keys.
+CACHE_ENTRIES, CACHE_BYTES = 300_000, 8 << 20
+#: Bytes of texts that are encoded together.
+AT_ONCE = 2 << 20
+
+SPACE, LETTER, SIGN, DIGIT, ODD = range(5)
+WHITE = re.compile(rb"[ \t-\r]")
+#: Kind of each ASCII character in lower case; the apostrophe is odd, since letters may belong to it.
+KIND = np.full(256, ODD, np.uint8)
+KIND[list(ASCII_SPACE.encode())] = SPACE
+KIND[list(b"abcdefghijklmnopqrstuvwxyz")] = LETTER
+KIND[list(b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~')] = SIGN
+KIND[list(b"0123456789")] = DIGIT
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+#: UTF-8 of U+00C0 to U+00FF is this byte and one of 0x80 to 0xBF: small letters from 0x9F on, capitals 0x20 before
+#: theirs, and two signs (U+00D7, U+00F7).
+LATIN, LATIN_LOWER, LATIN_LETTER = 0xC3, LOWER.copy(), np.zeros(256, bool)
+LATIN_LOWER[0x80:0x9F] += 0x20
+LATIN_LOWER[0x97] = 0x97
+LATIN_LETTER[0x80:0xC0] = True
+LATIN_LETTER[[0x97, 0xB7]] = False
+
+
+class WordIds:
+    """Little-endian ids of texts, by the tokenizers library.
+
+    The tokenizer drops white space, lower-cases, and cuts words into runs of letters, single digits and
+    runs of other signs, so a text's ids are those of these parts in turn. A word that has only ASCII
+    characters but the apostrophe, and letters from U+00C0 to U+00FF, needs no normalisation: it is cut
+    here, and parts that aren't known go to the library's model in one call. Any other word is one part
+    as it stands and goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        super().__init__()
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.model = self.whole.model
+        self.new, self.old, self.size = {}, {}, 0
+        self.whole, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = self.model.encode_special_tokens = True
         letters = "".join(map(chr, range(0xDF, 0x100))).replace("÷", "")
         assert unicodedata.is_normalized("NFC", letters)
-        self.to_bytes = {ord(c): self.whole.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        text = word.decode("utf-8", "replace")
-        plain = PLAIN.fullmatch(text)
-        if plain:
-            ids = [t.id for part in plain.groups() if part for t in self.model.tokenize(part.translate(self.to_bytes))]
-        else:
-            ids = self.whole.encode(text, add_special_tokens=False).ids
-        self[word] = out = np.array(ids, "<u4").tobytes()
-        return out
+        # the model knows a byte by its code point, or else by the one that the pre-tokenizer gives it
+        mapped = {c.encode().decode("latin-1"): self.whole.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
+        self.others = [(c[1], to[1]) for c, to in mapped.items() if c != to]
+        self.model.normalizer, self.model.pre_tokenizer = None, CharDelimiterSplit("\n")
+        vocabulary = self.model.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text. A long one is cut at white space, so that not all of its parts are held at once."""
+        if max(map(len, texts), default=0) > AT_ONCE:
+            return [b"".join(ids for some in cut(text) for ids in self.encode_short([some])) for text in texts]
+        return self.encode_short(texts)
+
+    def encode_short(self, texts: list[bytes]) -> list[bytes]:
+        parts, places, odd = split(b" ".join(texts))
+        if not len(parts):
+            return [b""] * len(texts)
+        coded = parts.dictionary_encode()
+        whole = np.zeros(len(coded.dictionary), bool)
+        whole[coded.indices.to_numpy()[odd]] = True
+        ids = pa.array(self.known(coded.dictionary.to_pylist(), whole), pa.binary()).take(coded.indices)
+        starts, data = np.frombuffer(ids.buffers()[1], np.int32)[:len(parts) + 1], ids.buffers()[2].to_pybytes()
+        ends = starts[np.searchsorted(places, np.cumsum([len(text) + 1 for text in texts]))].tolist()
+        return [data[at:end] for at, end in zip([0, *ends], ends)]
+
+    def known(self, parts: list[bytes], whole: np.ndarray) -> list[bytes]:
+        """The ids of different parts; frequent parts move on from generation to generation."""
+        new, old, missing = self.new, self.old, []
+        ids = list(map(new.get, parts))
+        for i in [i for i, known in enumerate(ids) if known is None]:
+            part = parts[i]
+            if part in old:
+                ids[i] = new[part] = old[part]
+            elif whole[i]:
+                text = part.decode("utf-8", "replace")
+                ids[i] = new[part] = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                missing.append(i)
+            self.size += len(part)
+        if missing:
+            for i, found in zip(missing, self.model_ids([parts[i] for i in missing])):
+                ids[i] = new[parts[i]] = found
+        if len(new) > CACHE_ENTRIES or self.size > CACHE_BYTES:
+            self.old, self.new, self.size = new, {}, 0
+        return ids
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode().lower().split()))
+    def model_ids(self, parts: list[bytes]) -> list[bytes]:
+        """Each part's last token, and no other, has the model's mark for the end of a word."""
+        text = b"\n".join(parts).decode("latin-1")
+        for byte, char in self.others:
+            text = text.replace(byte, char)
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends, data = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist(), ids.tobytes()
+        if len(ends) != len(parts):
+            raise ValueError(f"{len(parts)} parts have {len(ends)} ends")
+        return [data[at:end] for at, end in zip([0, *ends], ends)]
+
+
+def split(text: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Parts, the place where each begins, and whether it is a word with other characters (which keeps its capitals)."""
+    raw = np.frombuffer(text, np.uint8)
+    low = LOWER[raw]
+    lead = np.flatnonzero(raw[:-1] == LATIN)
+    low[lead + 1] = LATIN_LOWER[raw[lead + 1]]
+    kind = KIND[low]
+    letter = lead[LATIN_LETTER[raw[lead + 1]]]
+    kind[letter] = kind[letter + 1] = LETTER
+    inside = kind != SPACE
+    odd = np.flatnonzero(kind == ODD)
+    if len(odd):
+        edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        begin, end = edge[::2], edge[1::2]
+        words = np.unique(np.searchsorted(begin, odd, "right") - 1)
+        steps = np.zeros(len(raw) + 1, np.int8)
+        steps[begin[words]], steps[end[words]] = 1, -1
+        whole = np.cumsum(steps[:-1], dtype=np.int8).view(bool)
+        np.copyto(low, raw, where=whole)
+        kind[whole] = ODD
+    first = inside & (kind != np.append(np.uint8(SPACE), kind[:-1])) | (kind == DIGIT)
+    places, data = np.flatnonzero(first), low[inside]
+    starts = np.append(np.flatnonzero(first[inside]), len(data)).astype(np.int32)
+    parts = pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(starts), pa.py_buffer(data)])
+    return parts, places, kind[places] == ODD
+
+
+def cut(text: bytes) -> Iterator[bytes]:
+    """Pieces of ``AT_ONCE`` bytes, each up to the white space that follows."""
+    at = 0
+    while space := WHITE.search(text, at + AT_ONCE):
+        yield text[at:space.start()]
+        at = space.start()
+    yield text[at:]
 
 
 @functools.lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    """One per worker process and vocabulary."""
+    """One per worker process and vocabulary. The library keeps to the task's own thread."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return WordIds(path)
 
 
@@ -156,6 +254,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     """
     ordered = (
         keyed_text(docs).withColumn("_tie", F.xxhash64("text"))
+        .withColumn("text", F.col("text").cast("binary"))
         .repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
     )
     manifest = arrow_schema(MANIFEST)
@@ -168,9 +267,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         with place.open_output_stream(draft) as stream:
             out = FrameWriter(stream)
             for batch in batches:
-                for some in slices(batch):
-                    for doc_id, text in zip(some["doc_id"].to_pylist(), some["text"].to_pylist()):
-                        out.add(doc_id, words.encode(text or "") + end)
+                for some in slices(batch, AT_ONCE):
+                    texts = [text or b"" for text in some["text"].to_pylist()]
+                    for doc_id, ids in zip(some["doc_id"].to_pylist(), words.encode(texts)):
+                        out.add(doc_id, ids + end)
             out.close()
         place.move(draft, path)
         yield pa.RecordBatch.from_pylist([{
