@@ -138,6 +138,16 @@ def test_token_files_of_capitals_before_marks(spark, tmp_path):
         assert np.frombuffer(bytes(row.ids), "<u4").tolist() == want
 
 
+def test_op7_takes_special_tokens_as_the_library_does(spark, tmp_path):
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y,<|endoftext|>", "<|ENDOFTEXT|> <|endoftext", "J\u030c<|endoftext|>É z"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for row in QUERIES["op7_token_files"](spark, str(tmp_path)).collect():
+        ids = library.encode(texts[row.doc_id], add_special_tokens=False).ids + [1]
+        assert (row.n_tokens, row.ids_crc32) == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+
+
 def test_missing_parts_go_to_the_library_in_one_call(monkeypatch):
     path, rnd = public_tokenizers.path("word_bpe_49k.json"), random.Random(7)
     library = Tokenizer.from_file(path)

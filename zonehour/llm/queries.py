@@ -74,7 +74,7 @@ WORDS, END_ID = "word_bpe_49k.json", 1
 @query("op7_token_files")
 def token_file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.file_digests(table(spark, sf_dir, "documents"), fresh_path(spark, "tokens"),
-                                    public_tokenizers.path(WORDS), END_ID)
+                                    public_tokenizers.path(WORDS), END_ID, encode_special_tokens=False)
 
 
 @query("op8_parsing_fingerprints")

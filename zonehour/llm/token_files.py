@@ -73,13 +73,16 @@ class WordIds:
     runs of other signs, so a text's ids are those of these parts in turn. A word that has only ASCII
     characters but the apostrophe, and letters from U+00C0 to U+00FF, needs no normalisation: it is cut
     here, and parts that aren't known go to the library's model in one call. Any other word is one part
-    as it stands and goes through the whole tokenizer.
+    as it stands and goes through the whole tokenizer. So does a word with an added token, unless
+    ``encode_special_tokens`` takes special ones as text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encode_special_tokens: bool = True):
         self.new, self.old, self.size = {}, {}, 0
         self.whole, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = self.model.encode_special_tokens = True
+        self.whole.encode_special_tokens, self.model.encode_special_tokens = encode_special_tokens, True
+        self.added = [re.compile(re.escape(token.content.encode())) for token in
+                      self.whole.get_added_tokens_decoder().values() if not (token.special and encode_special_tokens)]
         letters = "".join(map(chr, range(0xDF, 0x100))).replace("÷", "")
         assert unicodedata.is_normalized("NFC", letters)
         # the model knows a byte by its code point, or else by the one that the pre-tokenizer gives it
@@ -97,7 +100,7 @@ class WordIds:
         return self.encode_short(texts)
 
     def encode_short(self, texts: list[bytes]) -> list[bytes]:
-        parts, places, odd = split(b" ".join(texts))
+        parts, places, odd = split(b" ".join(texts), self.added)
         if not len(parts):
             return [b""] * len(texts)
         coded = parts.dictionary_encode()
@@ -141,8 +144,8 @@ class WordIds:
         return [data[at:end] for at, end in zip([0, *ends], ends)]
 
 
-def split(text: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Parts, the place where each begins, and whether it is a word with other characters (which keeps its capitals)."""
+def split(text: bytes, added: Iterable[re.Pattern]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Parts, the place where each begins, and whether it is a word that stays whole (and keeps its capitals)."""
     raw = np.frombuffer(text, np.uint8)
     low = LOWER[raw]
     lead = np.flatnonzero(raw[:-1] == LATIN)
@@ -150,6 +153,9 @@ def split(text: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     kind = KIND[low]
     letter = lead[LATIN_LETTER[raw[lead + 1]]]
     kind[letter] = kind[letter + 1] = LETTER
+    for token in added:
+        for found in token.finditer(text):
+            kind[found.start():found.end()] = ODD
     inside = kind != SPACE
     odd = np.flatnonzero(kind == ODD)
     if len(odd):
@@ -178,10 +184,10 @@ def cut(text: bytes) -> Iterator[bytes]:
 
 
 @functools.lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, encode_special_tokens: bool) -> WordIds:
     """One per worker process and vocabulary. The library keeps to the task's own thread."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordIds(path)
+    return WordIds(path, encode_special_tokens)
 
 
 class FrameWriter:
@@ -243,7 +249,8 @@ class FrameReader:
         return ids
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
+                      encode_special_tokens: bool = True) -> DataFrame:
     """Encode all texts and write one file for each range of doc_id; the manifest has a row for each file.
 
     ``folder`` must be shared by all machines (a path, or a URI that pyarrow's file systems know). NULL
@@ -251,6 +258,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     ordered by their text's hash. Columns besides doc_id and text are ignored; an empty table gives files
     without frames, or none. The only shuffle deals texts by ranges of (doc_id, hash), so many
     rows with one doc_id are split too. The manifest, one row a file, is written beside the files.
+    ``encode_special_tokens`` is the library's switch: words of a text that read like special tokens
+    (``<|endoftext|>``) are text, or else, as by the library's default, those tokens.
     """
     ordered = (
         keyed_text(docs).withColumn("_tie", F.xxhash64("text"))
@@ -260,7 +269,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     manifest = arrow_schema(MANIFEST)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, words, end = TaskContext.get().partitionId(), word_ids(tokenizer_path), struct.pack("<I", end_id)
+        part, end = TaskContext.get().partitionId(), struct.pack("<I", end_id)
+        words = word_ids(tokenizer_path, encode_special_tokens)
         place, root = FileSystem.from_uri(folder)
         place.create_dir(root, recursive=True)
         path, draft = f"{root}/part-{part:06d}.tokens", f"{root}/_draft-{part:06d}-{uuid.uuid4().hex}"
@@ -314,7 +324,9 @@ def read_token_files(manifest: DataFrame, folder: str, doc_ids: Iterable[int] |
     return arrow_map(files.repartition(max(1, manifest.count()), "part"), read, TOKENS)
 
 
-def file_digests(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int) -> DataFrame:
+def file_digests(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
+                 encode_special_tokens: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of what ``write_token_files`` wrote, read back from the files."""
-    read = read_token_files(write_token_files(docs, folder, tokenizer_path, end_id), folder)
+    manifest = write_token_files(docs, folder, tokenizer_path, end_id, encode_special_tokens)
+    read = read_token_files(manifest, folder)
     return read.select("doc_id", "start", F.expr("length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
