@@ -1,9 +1,6 @@
 """Helpers that several operators share: inputs, Arrow rows, shipped code, and ranks without a single hot task."""
 
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..sources.shipped import ship
+
 #: Fixed value: the white space that separates words, 0x20 and 0x09 to 0x0D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -32,22 +31,6 @@ def packed(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), *names)
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once an application, as ``--py-files`` would."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        _shipped.add(context.applicationId)
-        package = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp(prefix="code-"), f"{package.name}.zip")
-        with zipfile.ZipFile(archive, "w") as out:
-            for source in sorted(package.rglob("*.py")):
-                out.write(source, source.relative_to(package.parent))
-        context.addPyFile(str(archive))
-
-
 def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
               schema: str) -> DataFrame:
     """``df.mapInArrow`` with this package's code at hand."""
