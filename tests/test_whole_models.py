@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from zonehour.operators import coarsening as Z
 from zonehour.operators import smoothing as S
 from zonehour.operators import whole_models as W
 from zonehour.plans import search as E
@@ -84,6 +85,24 @@ def test_gaussian_as_on_tables(spark, monkeypatch):
     same(found(task.result()), found(table.result()))
 
 
+def test_coarse_levels_as_on_tables(spark, monkeypatch):
+    """The levels of each model are summed, started and handed down in its task."""
+    edges = [*grid(12), (3, 4, True, 1.0), (3, 4, True, 1.0)]
+    counts, links, models = frames(spark, edges, size=144, void=False)
+    task, table = both(monkeypatch, lambda: Z.smooth_from_coarse(counts, links, models, coarsest=20, rounds=10, tol=1e-9, check_every=5))
+    assert len(task[1]) > 2 and task[1] == table[1]
+    same(found(task[0].betas), found(table[0].betas))
+
+
+def test_a_coarse_start_adds_no_job_a_round(spark):
+    """Levels are fitted one after the other inside each model's task."""
+    counts, links, models = frames(spark, grid(8), size=64, void=False)
+    (fit, report), few = jobs(spark, lambda: Z.smooth_from_coarse(counts, links, models, coarsest=30, **KW))
+    assert fit.converged and len(report) == 2 and few <= 80
+    _, again = jobs(spark, lambda: Z.smooth_from_coarse(counts, links, models, coarsest=30, rounds=90, tol=0.0))
+    assert again <= few + 5
+
+
 def test_a_fit_is_a_few_jobs_whatever_its_rounds(spark):
     counts, links, models = frames(spark, grid(), models=12, void=False)
     fit, few = jobs(spark, lambda: S.smooth_binomial(counts, links, models, **KW))
