@@ -121,3 +121,17 @@ def test_a_vertex_given_twice_is_refused(spark):
     counts, links, models = frames(spark, grid(), models=1)
     with pytest.raises(Exception, match="has a vertex twice"):
         S.smooth_binomial(counts.union(counts), links, models, **KW)
+
+
+def test_cross_validation_and_the_best_fit_are_a_few_jobs(spark):
+    """Candidates, folds and splits end in their own tasks, whatever rounds the slowest needs."""
+    counts, links, models = frames(spark, grid(), models=2, void=False)
+    table = counts.withColumn("split_id", F.col("model_id").cast("int")).drop("model_id")
+    pens = models.withColumn("candidate", F.col("model_id").cast("int")).drop("model_id")
+
+    def search():
+        scores = E.cross_validate(table, links, pens, 3, **KW)
+        return E.fit_best(table, links, scores, **KW).collect()
+
+    betas, few = jobs(spark, search)
+    assert len(betas) == 50 and few <= 60
